@@ -33,7 +33,8 @@ LONG_WORD = 128
 CACHE_WORDS = 300_000
 CACHED_LENGTH = 64
 NO_RANK = 1 << 60
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+#: Unicode white space, written as part of a character class.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + f"{chr(0x2000)}-{chr(0x200A)}"
 
 
 def byte_alphabet() -> list[str]:
