@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, warc
+from . import bpe, chat, langid, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.query,
     "op2_langid": langid.query,
     "op3_warc": warc.query,
     "op6_chat": chat.query,
+    "op8_simhash": simhash.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
