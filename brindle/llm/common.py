@@ -38,7 +38,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+WHITE = "\t\n\x0b\x0c\r"
+
+
 def words_of(text):
     """The words ``[^\\x20\\x09-\\x0D]+`` of a string column as an array; null text has none."""
-    clean = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    return F.filter(F.split(clean, " ", -1), lambda w: w != "")
+    clean = F.coalesce(text.cast("string"), F.lit(""))
+    for c in WHITE:
+        clean = F.replace(clean, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(clean, " ", -1), "")
+
+
+def hash_share(key, wanted: int, total: int):
+    """A condition that about ``wanted`` of ``total`` different keys meet, the same on every run."""
+    return F.lit(True) if total <= wanted else F.pmod(F.xxhash64(key, F.lit("share")), F.lit(1 << 32)) < int(wanted / total * (1 << 32))
+
+
+def once(value):
+    """The same value, evaluated where it stands.
+
+    The optimizer would push a later filter through the projection and copy the expression into
+    every place that mentions its column, inside array functions once per element.  It does not
+    move expressions past one that it takes for non-deterministic.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)

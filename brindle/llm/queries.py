@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, simhash, warc
+from . import bpe, chat, langid, quality, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": warc.query,
     "op6_chat": chat.query,
     "op8_simhash": simhash.query,
+    "op10_quality": quality.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
