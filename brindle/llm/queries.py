@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, quality, simhash, warc
+from . import bpe, chat, langid, pii, quality, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.query,
     "op2_langid": langid.query,
     "op3_warc": warc.query,
+    "op4_pii": pii.query,
     "op6_chat": chat.query,
     "op8_simhash": simhash.query,
     "op10_quality": quality.query,
