@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, pii, quality, simhash, warc
+from . import bpe, chat, decontaminate, langid, pii, quality, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": pii.query,
     "op6_chat": chat.query,
     "op8_simhash": simhash.query,
+    "op9_decontaminate": decontaminate.query,
     "op10_quality": quality.query,
 }
 
