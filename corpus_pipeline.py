@@ -1,28 +1,70 @@
-"""Corpus pipeline over ``documents``: each stage works on all that its predecessor kept."""
+"""Corpus pipeline over ``documents``: each stage works on all that its predecessor kept.
+
+Every stage but the last returns the columns of ``documents``; ``n_chars`` follows the text.
+Rows without an id keep their place where a decision needs none.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from brindle.llm import bpe
+from brindle.llm import bpe, decontaminate, langid, pii, simhash
 from brindle.llm.common import new_folder, table
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Texts whose language is less sure than this are rejected, as are those without a letter.
+LEAST_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is told with some certainty."""
+    judged = langid.predict(docs, langid.fit(docs), COLUMNS)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate group: that of the smallest id.
+
+    Rows that repeat the id of a kept document are copies of it only if they are equal, so of
+    rows with one id one of each text is kept.
+    """
+    groups = simhash.near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    kept = groups.where("doc_id = component_id").select("doc_id")
+    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    folder = new_folder(spark, "contaminated")
+    decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("bad_id")).distinct().write.parquet(folder)
+    bad = spark.read.parquet(folder)
+    return docs.select(*COLUMNS).join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by its kind in brackets."""
+    clean = pii.redact(docs, [c for c in COLUMNS if c != "text"], pii.trained(spark))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the kept, redacted texts."""
     import public_tokenizers
 
     return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
 
-STAGES = [("bpe", tokens)]
+STAGES = [("language ID", language), ("SimHash near-dedup", near_duplicates), ("benchmark decontamination", decontaminated), ("PII", redacted), ("BPE", tokens)]
 
+#: Learned models and iterated components are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        folder = new_folder(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(folder)
-        docs = spark.read.parquet(folder)
+    for number, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
+        docs = spark.read.parquet(f"{folder}/{number}")
     return docs
