@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, langid, pii, quality, simhash, warc
+from . import bpe, chat, decontaminate, langid, pii, quality, simhash, warc, wrapper
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": warc.query,
     "op4_pii": pii.query,
     "op6_chat": chat.query,
+    "op7_wrapper": wrapper.query,
     "op8_simhash": simhash.query,
     "op9_decontaminate": decontaminate.query,
     "op10_quality": quality.query,
