@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, langid, pii, quality, simhash, warc, wrapper
+from . import bpe, chat, decontaminate, langid, pii, quality, simhash, suffix, warc, wrapper
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.query,
     "op2_langid": langid.query,
     "op3_warc": warc.query,
     "op4_pii": pii.query,
+    "op5_suffix": suffix.query,
     "op6_chat": chat.query,
     "op7_wrapper": wrapper.query,
     "op8_simhash": simhash.query,
