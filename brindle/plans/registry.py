@@ -6,7 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import changes, scans, statistics, workloads
 from . import decision
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**decision.QUERIES}
-ORACLE_SQL: dict[str, str] = {**decision.ORACLE_SQL}
+MODULES = (decision, scans, changes, statistics, workloads)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+for _module in MODULES:
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
