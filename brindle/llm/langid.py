@@ -6,8 +6,8 @@ bytes; each filter's largest response in a window goes to a softmax.  A convolut
 bytes is a sum of table rows, so inference adds looked-up rows for all windows of a batch at once.
 A text's score per language is the byte-weighted mean of its windows' log probabilities.
 
-Training reads a bounded sample: the ``TRAIN_DOCS`` eligible documents of lowest hash, at most
-``TRAIN_WINDOWS`` windows of each.  Its size does not grow with the corpus; prediction covers all.
+Training reads a bounded sample: about ``TRAIN_DOCS`` eligible documents by the hash of their id,
+at most ``TRAIN_WINDOWS`` windows of each.  Its size does not grow with the corpus; prediction covers all.
 
 Defined results: null text, empty text and text without a letter give ``und`` with score 0; with
 no labelled rows every text does.  Repeated rows give repeated results; only ``doc_id`` and
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import hash_share, table
 
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 8
 TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS, BATCH = 3000, 4, 6, 64
@@ -150,8 +150,10 @@ def held_out(doc_id):
 
 def fit(docs: DataFrame) -> ByteCnn | None:
     """Trains on a bounded sample of the labelled documents outside the held-out fold."""
-    sample = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    rows = sample.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(TRAIN_DOCS).collect()
+    eligible = F.col("lang").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False))
+    total = docs.where(eligible).count()
+    sample = docs.where(eligible & hash_share(F.col("doc_id"), TRAIN_DOCS, total)).select("text", "lang").where(F.length("text") > 0)
+    rows = sorted(sample.limit(2 * TRAIN_DOCS).collect())
     return ByteCnn.train([r.text for r in rows], [r.lang for r in rows])
 
 
