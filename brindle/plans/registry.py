@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import changes, scans, statistics, workloads
+from ..operators import changes, forecast, scans, statistics, workloads
 from . import decision
 
-MODULES = (decision, scans, changes, statistics, workloads)
+MODULES = (decision, scans, changes, statistics, workloads, forecast)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in MODULES:
