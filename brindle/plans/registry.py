@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import changes, forecast, scans, statistics, workloads
+from ..operators import changes, forecast, layout, scans, statistics, workloads
+from ..streaming import changes as streams
 from . import decision
 
-MODULES = (decision, scans, changes, statistics, workloads, forecast)
+MODULES = (decision, scans, changes, statistics, workloads, forecast, layout, streams)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in MODULES:
