@@ -214,6 +214,155 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(spark.read.parquet(f"{folder}/linked"), "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+# --- groups by similarity of five-word shingles --------------------------------------------------
+#
+# At a similarity of 0.8 a bit of a SimHash differs with probability 0.15: some ten bits of 64,
+# where no choice of equal blocks selects.  So candidates come from bands of min-wise hashes (a
+# pair of similarity 0.8 shares one with probability 0.99998), and fingerprints of 512 bits, whose
+# distance tells similarity to about 0.035, decide.
+
+SET_SHINGLE, ROWS, BANDS, WORDS, WIDE_RADIUS = 5, 3, 16, 8, 92
+_DRAW = np.random.default_rng(17)
+FACTORS = _DRAW.integers(0, 1 << 63, (ROWS * BANDS, 2), dtype=np.uint64) * np.uint64(2) + ONE
+LANES = _DRAW.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + ONE
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def sketch(text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
+    """Digest of the word sequence, wide fingerprint and band keys of the set of shingles."""
+    words = (text or "").encode().lower().split()
+    joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= SET_SHINGLE:
+        hashes = np.array([digest(joined, SEED)], np.uint64)
+    else:
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate([[0], ends[: len(words) - SET_SHINGLE] + 1])
+        hashes = np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends[SET_SHINGLE - 1 :].tolist(), strict=True)], np.uint64))
+    least = np.array([(hashes * f + g).min() for f, g in FACTORS], np.uint64).reshape(BANDS, ROWS)
+    bands = mix(mix(mix(least[:, 0] + np.arange(BANDS, dtype=np.uint64)) ^ least[:, 1]) ^ least[:, 2])
+    wide = np.empty(WORDS, np.uint64)
+    for k in range(WORDS):
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), 8192):
+            counts += np.unpackbits(mix(hashes[at : at + 8192] * LANES[k]).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        wide[k] = ((2 * counts > len(hashes)).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum()
+    return digest(joined, 7), wide, bands
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketch(t.as_py()) for t in batch.column(1)]
+            node = np.fromiter((f[0] for f in found), np.uint64, len(found)).view(np.int64)
+            wide = pa.array([f[1].astype("<u8").tobytes() for f in found], pa.binary())
+            bands = pa.array([f[2].view(np.int64).tolist() for f in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), wide, bands], ["doc_id", "node", "wide", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, wide binary, bands array<long>")
+
+
+def wide_links_of_run(wide: np.ndarray, radius: int = WIDE_RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links of a run.
+
+    Leaders first gather what is near them; pairs inside the largest tree are then connected
+    already, and only the others are compared with all.
+    """
+    n = len(wide)
+    labels = np.arange(n)
+
+    def near(i: int) -> np.ndarray:
+        return np.flatnonzero(np.bitwise_count(wide ^ wide[i]).sum(1) <= radius)
+
+    alone = np.ones(n, bool)
+    for _ in range(16):
+        i = int(alone.argmax())
+        if not alone[i]:
+            break
+        found = near(i)
+        alone[found] = False
+        alone[i] = False
+        labels = unite(labels, np.full(len(found), i), found)
+    largest = np.bincount(labels).argmax()
+    for i in np.flatnonzero(labels != largest).tolist():
+        found = near(i)
+        labels = unite(labels, np.full(len(found), i), found)
+    child = np.flatnonzero(labels != np.arange(n))
+    return child, labels[child]
+
+
+def wide_links_of_runs(keys: np.ndarray, nodes: np.ndarray, wide: np.ndarray, radius: int = WIDE_RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    bounds = np.flatnonzero(np.diff(keys, append=keys[-1:] + 1, prepend=keys[:1] - 1)) if len(keys) else np.zeros(1, int)
+    starts, lengths = bounds[:-1], np.diff(bounds)
+    out_a, out_b = [], []
+    for s, n in zip(starts[lengths > SHORT_RUN].tolist(), lengths[lengths > SHORT_RUN].tolist(), strict=True):
+        a, b = wide_links_of_run(wide[s : s + n], radius)
+        out_a.append(nodes[s + a])
+        out_b.append(nodes[s + b])
+    ends = np.repeat(np.where(lengths <= SHORT_RUN, starts + lengths, 0), lengths)
+    at = np.flatnonzero(ends > np.arange(len(keys)) + 1)
+    for d in range(1, SHORT_RUN):
+        at = at[ends[at] > at + d]
+        if not len(at):
+            break
+        hit = at[np.bitwise_count(wide[at] ^ wide[at + d]).sum(1) <= radius]
+        out_a.append(nodes[hit])
+        out_b.append(nodes[hit + d])
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
+
+
+def wide_links(nodes: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
+    """``a, b``: links between different word sequences ``node``, connected per band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WORDS), np.uint64))
+
+        def flush(part: tuple) -> pa.RecordBatch:
+            a, b = wide_links_of_runs(*part, radius)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            wide = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(-1, WORDS)
+            held = tuple(np.concatenate(x) for x in zip(held, (batch.column(0).to_numpy(), batch.column(1).to_numpy(), wide), strict=True))
+            end = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last run may go on
+            yield flush(tuple(x[:end] for x in held))
+            held = tuple(x[end:] for x in held)
+        yield flush(held)
+
+    return nodes.select(F.explode("bands").alias("key"), "node", "wide").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """``doc_id, group_id`` for documents with others in their group; group_id is the smallest id.
+
+    Documents are linked if their sets of five-word shingles have a similarity of about 0.8 or
+    more, or if their 64-bit fingerprints are within the radius.  Equal word sequences collapse
+    before candidates are made.  Null ids take no part.
+    """
+    spark = docs.sparkSession
+    folder = new_folder(spark, "similar")
+    named = docs.where("doc_id IS NOT NULL")
+    sketches(named).write.parquet(f"{folder}/docs")
+    rows = spark.read.parquet(f"{folder}/docs")
+    ids = rows.select("doc_id", "node")
+    first = ids.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    first.write.parquet(f"{folder}/first")
+    first = spark.read.parquet(f"{folder}/first")
+    nodes = rows.join(first, (F.col("doc_id") == F.col("first")) & rows.node.eqNullSafe(first.node), "left_semi").dropDuplicates(["node"])
+    wide_links(nodes).distinct().write.parquet(f"{folder}/links")
+    links_ = spark.read.parquet(f"{folder}/links")
+    one, two = (first.select(F.col("node").alias(x), F.col("first").alias(f"{x}_id")) for x in ("a", "b"))
+    edges = links_.join(one, "a").join(two, "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    copies = ids.join(first.where("n > 1"), "node").where("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    close = near_duplicates(named).where("doc_id != component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    return components(edges.unionByName(copies).unionByName(close)).select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

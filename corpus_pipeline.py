@@ -26,12 +26,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group: that of the smallest id.
 
-    Rows that repeat the id of a kept document are copies of it only if they are equal, so of
-    rows with one id one of each text is kept.
+    A group is linked by similarity of five-word shingles of 0.8 or more, or by fingerprints
+    within the radius.  Of rows that repeat an id, and of rows without one, each text stays once.
     """
-    groups = simhash.near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    kept = groups.where("doc_id = component_id").select("doc_id")
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    folder = new_folder(spark, "groups")
+    simhash.similar_groups(docs).where("doc_id != group_id").select(F.col("doc_id").alias("copy_id")).distinct().write.parquet(folder)
+    kept = docs.select(*COLUMNS).join(spark.read.parquet(folder), F.col("doc_id") == F.col("copy_id"), "left_anti")
+    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

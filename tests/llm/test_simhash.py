@@ -76,3 +76,40 @@ def test_odd_rows(spark):
     found = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()}
     assert found == {(9, 2), (2, 2), (None, 2), (5, 5), (7, 7)}
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def shingle_set(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_similar_groups_find_near_copies(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    draw = np.random.default_rng(8)
+    base = [(d, t) for d, t in docs if len(t.split()) > 120][:40]
+    for k, (d, t) in enumerate(base):
+        words = t.split()
+        for i in draw.integers(0, len(words), max(1, len(words) // 120)).tolist():
+            words[i] = "changed"
+        docs.append((100_000 + k, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    groups = {r.doc_id: r.group_id for r in simhash.similar_groups(df).collect()}
+    sets = {d: shingle_set(t) for d, t in docs}
+    for k, (d, _) in enumerate(base):
+        near = len(sets[d] & sets[100_000 + k]) / len(sets[d] | sets[100_000 + k])
+        assert near < 0.85 or groups[100_000 + k] == groups[d], near
+    members = {}
+    for d, g in groups.items():
+        members.setdefault(g, []).append(d)
+    for ids in members.values():  # nobody is in a group without a near neighbour in it
+        for d in ids:
+            assert max(len(sets[d] & sets[o]) / len(sets[d] | sets[o]) for o in ids if o != d) > 0.6
+
+
+def test_long_runs_link_as_pairs_do():
+    draw = np.random.default_rng(6)
+    centres = draw.integers(0, 1 << 63, (5, simhash.WORDS), dtype=np.uint64)
+    wide = np.concatenate([np.stack([c ^ (np.uint64(1) << draw.integers(0, 64, simhash.WORDS, dtype=np.uint64)) for _ in range(60)]) for c in centres])
+    a, b = simhash.wide_links_of_run(wide)
+    labels = simhash.unite(np.arange(len(wide)), a, b)
+    assert labels.tolist() == [i // 60 * 60 for i in range(len(wide))]
