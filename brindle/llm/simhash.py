@@ -18,13 +18,13 @@ null if there is none; an empty table gives no rows.  Only ``doc_id`` and ``text
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_folder, table
@@ -218,10 +218,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 #
 # At a similarity of 0.8 a bit of a SimHash differs with probability 0.15: some ten bits of 64,
 # where no choice of equal blocks selects.  So candidates come from bands of min-wise hashes (a
-# pair of similarity 0.8 shares one with probability 0.99998), and fingerprints of 512 bits, whose
-# distance tells similarity to about 0.035, decide.
-
-SET_SHINGLE, ROWS, BANDS, WORDS, WIDE_RADIUS = 5, 3, 16, 8, 92
+# pair of similarity 0.8 shares one with probability 0.99998), fingerprints of 512 bits screen
+# them (78 bits differ at 0.8, 96 between sets of five and four shingles, with a deviation of 9),
+# and the sets of shingles themselves decide.
+
+SET_SHINGLE, ROWS, BANDS, WORDS, WIDE_RADIUS = 5, 3, 16, 8, 128
+#: The least similarity as a fraction.
+PART, WHOLE = 4, 5
+#: Shingles of a group in a piece and in a block of a larger one, about; leaders of a group.
+PIECE, BLOCK, LEADERS = 1 << 15, 1 << 17, 4
 _DRAW = np.random.default_rng(17)
 FACTORS = _DRAW.integers(0, 1 << 63, (ROWS * BANDS, 2), dtype=np.uint64) * np.uint64(2) + ONE
 LANES = _DRAW.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + ONE
@@ -233,17 +238,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def sketch(text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
-    """Digest of the word sequence, wide fingerprint and band keys of the set of shingles."""
-    words = (text or "").encode().lower().split()
-    joined = b" ".join(words)
-    digest = xxhash.xxh64_intdigest
+def shingle_set(words: list[bytes]) -> np.ndarray:
+    """Hashes of the different five-word shingles, in order."""
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= SET_SHINGLE:
-        hashes = np.array([digest(joined, SEED)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[: len(words) - SET_SHINGLE] + 1])
-        hashes = np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends[SET_SHINGLE - 1 :].tolist(), strict=True)], np.uint64))
+        return np.array([digest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[: len(words) - SET_SHINGLE] + 1])
+    return np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends[SET_SHINGLE - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def words_in(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def sketch(text: str | None) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Digest of the word sequence, size, wide fingerprint and band keys of the set of shingles."""
+    words = words_in(text)
+    hashes = shingle_set(words)
     least = np.array([(hashes * f + g).min() for f, g in FACTORS], np.uint64).reshape(BANDS, ROWS)
     bands = mix(mix(mix(least[:, 0] + np.arange(BANDS, dtype=np.uint64)) ^ least[:, 1]) ^ least[:, 2])
     wide = np.empty(WORDS, np.uint64)
@@ -252,34 +264,31 @@ def sketch(text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
         for at in range(0, len(hashes), 8192):
             counts += np.unpackbits(mix(hashes[at : at + 8192] * LANES[k]).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         wide[k] = ((2 * counts > len(hashes)).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum()
-    return digest(joined, 7), wide, bands
+    return xxhash.xxh64_intdigest(b" ".join(words), 7), len(hashes), wide, bands
 
 
 def sketches(docs: DataFrame) -> DataFrame:
+    """One row per document: what decides its candidates, and its 64-bit fingerprint ``fp``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketch(t.as_py()) for t in batch.column(1)]
-            node = np.fromiter((f[0] for f in found), np.uint64, len(found)).view(np.int64)
-            wide = pa.array([f[1].astype("<u8").tobytes() for f in found], pa.binary())
-            bands = pa.array([f[2].view(np.int64).tolist() for f in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), wide, bands], ["doc_id", "node", "wide", "bands"])
+            texts = [t.as_py() for t in batch.column(1)]
+            found = [sketch(t) for t in texts]
+            node, fp = (np.fromiter(x, np.uint64, len(texts)).view(np.int64) for x in ((f[0] for f in found), map(fingerprint, texts)))
+            wide = pa.array([f[2].astype("<u8").tobytes() for f in found], pa.binary())
+            bands = pa.array([f[3].view(np.int64).tolist() for f in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array(fp), pa.array([f[1] for f in found], pa.int64()), wide, bands], ["doc_id", "node", "fp", "size", "wide", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, wide binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, fp long, size long, wide binary, bands array<long>")
 
 
-def wide_links_of_run(wide: np.ndarray, radius: int = WIDE_RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links of a run.
+def forest(n: int, near: Callable[[int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of a symmetric relation of n things; ``near`` gives the partners of one.
 
     Leaders first gather what is near them; pairs inside the largest tree are then connected
     already, and only the others are compared with all.
     """
-    n = len(wide)
-    labels = np.arange(n)
-
-    def near(i: int) -> np.ndarray:
-        return np.flatnonzero(np.bitwise_count(wide ^ wide[i]).sum(1) <= radius)
-
-    alone = np.ones(n, bool)
+    labels, alone = np.arange(n), np.ones(n, bool)
     for _ in range(16):
         i = int(alone.argmax())
         if not alone[i]:
@@ -301,7 +310,8 @@ def wide_links_of_runs(keys: np.ndarray, nodes: np.ndarray, wide: np.ndarray, ra
     starts, lengths = bounds[:-1], np.diff(bounds)
     out_a, out_b = [], []
     for s, n in zip(starts[lengths > SHORT_RUN].tolist(), lengths[lengths > SHORT_RUN].tolist(), strict=True):
-        a, b = wide_links_of_run(wide[s : s + n], radius)
+        w = wide[s : s + n]
+        a, b = forest(n, lambda i, w=w: np.flatnonzero(np.bitwise_count(w ^ w[i]).sum(1) <= radius))
         out_a.append(nodes[s + a])
         out_b.append(nodes[s + b])
     ends = np.repeat(np.where(lengths <= SHORT_RUN, starts + lengths, 0), lengths)
@@ -317,7 +327,7 @@ def wide_links_of_runs(keys: np.ndarray, nodes: np.ndarray, wide: np.ndarray, ra
 
 
 def wide_links(nodes: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
-    """``a, b``: links between different word sequences ``node``, connected per band."""
+    """``a, b``: links between documents of different word sequences, connected per band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WORDS), np.uint64))
@@ -334,33 +344,134 @@ def wide_links(nodes: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
             held = tuple(x[end:] for x in held)
         yield flush(held)
 
-    return nodes.select(F.explode("bands").alias("key"), "node", "wide").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return nodes.select(F.explode("bands").alias("key"), "doc_id", "wide").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def similar_in(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of sets whose similarity is 0.8 or more, by shared members."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    ends = np.cumsum(sizes)
+    _, member = np.unique(np.concatenate(sets), return_inverse=True)
+    holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(member, kind="stable")]
+    count = np.bincount(member)
+    first = np.cumsum(count) - count
+
+    def near(i: int) -> np.ndarray:
+        own = member[ends[i] - sizes[i] : ends[i]]
+        many = count[own]
+        places = np.repeat(first[own] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        common = np.bincount(holders[places], minlength=len(sets))
+        return np.flatnonzero(WHOLE * common >= PART * (sizes[i] + sizes - common))
+
+    return forest(len(sets), near)
+
+
+def joined(pieces: DataFrame) -> DataFrame:
+    """``root, doc_id, rep`` for each piece of ``root, one, two, first, doc_id, text``.
+
+    ``rep`` stands for all that are connected inside the piece: the smallest id, of those marked
+    ``first`` if there are any.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, late, sets = None, [], [], []
+
+        def flush() -> pa.RecordBatch:
+            reps: list[int] = []
+            if sets:
+                child, parent = similar_in(sets)
+                tree = np.arange(len(sets))
+                tree[child] = parent
+                best = np.full(len(sets), len(sets))
+                rank = np.lexsort((ids, late))
+                np.minimum.at(best, tree[rank], np.arange(len(sets)))
+                reps = [ids[rank[k]] for k in best[tree].tolist()]
+            root = key[0] if key else 0
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([root] * len(ids), ids, reps)], ["root", "doc_id", "rep"])
+
+        for batch in batches:
+            for *k, first, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key:
+                    yield flush()
+                    key, ids, late, sets = k, [], [], []
+                ids.append(doc_id)
+                late.append(not first)
+                sets.append(shingle_set(words_in(text)))
+        yield flush()
+
+    dealt = pieces.select("root", "one", "two", "first", "doc_id", "text").repartition("root", "one", "two").sortWithinPartitions("root", "one", "two")
+    return dealt.mapInArrow(run, "root long, doc_id long, rep long")
+
+
+def share(parts: str) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.col(parts)).cast("int")
+
+
+def every(parts: str) -> Column:
+    return F.sequence(F.lit(0), F.col(parts) - 1)
+
+
+def verified_links(members: DataFrame, folder: str) -> DataFrame:
+    """``a, b`` that connect all similar documents of each group of ``doc_id, root, size, text``.
+
+    A group is dealt in pieces of bounded size.  A few of its members, drawn by hash, are leaders
+    and go to every piece, so that what is like them is one cluster across pieces.  Whoever is not
+    in a group's largest cluster then meets the whole group, in blocks: what lies inside that
+    cluster is connected already.
+    """
+    spark = members.sparkSession
+    leaders = F.array(*[F.min(F.struct(F.xxhash64("doc_id", F.lit(k)).alias("h"), "doc_id"))["doc_id"] for k in range(LEADERS)])
+    totals = members.groupBy("root").agg(F.ceil(F.sum("size") / PIECE).cast("int").alias("parts"), F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"), leaders.alias("leaders"))
+    totals.write.parquet(f"{folder}/totals")
+    totals = spark.read.parquet(f"{folder}/totals")
+    placed = members.join(totals, "root").withColumn("first", F.array_contains("leaders", F.col("doc_id")))
+    dealt = placed.select("root", F.explode(F.when(F.col("first"), every("parts")).otherwise(F.array(share("parts")))).alias("one"), F.lit(0).alias("two"), "first", "doc_id", "text")
+    joined(dealt).write.parquet(f"{folder}/inside")
+    inside = spark.read.parquet(f"{folder}/inside")
+    large = totals.where("parts > 1").select("root", "blocks")
+    clusters = inside.join(large, "root").groupBy("root", "blocks", "rep").agg(F.count("*").alias("n")).groupBy("root", "blocks").agg(F.max_by("rep", F.struct("n", "rep")).alias("main"))
+    inside.join(clusters, "root").where("rep != main").select("root", "blocks", "doc_id").distinct().write.parquet(f"{folder}/outside")
+    outside = spark.read.parquet(f"{folder}/outside")
+    asked = outside.join(members.select("root", "doc_id", "size", "text"), ["root", "doc_id"])
+    asking = asked.groupBy("root", "blocks").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("rows"))
+    whole = members.join(asking, "root").select("root", share("blocks").alias("one"), F.explode(every("rows")).alias("two"), F.lit(False).alias("first"), "doc_id", "text")
+    parts = asked.join(asking.select("root", "rows"), "root").select("root", F.explode(every("blocks")).alias("one"), share("rows").alias("two"), F.lit(False).alias("first"), "doc_id", "text")
+    across = joined(whole.unionByName(parts))
+    return inside.unionByName(across).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
     """``doc_id, group_id`` for documents with others in their group; group_id is the smallest id.
 
-    Documents are linked if their sets of five-word shingles have a similarity of about 0.8 or
-    more, or if their 64-bit fingerprints are within the radius.  Equal word sequences collapse
-    before candidates are made.  Null ids take no part.
+    Documents are linked if the similarity of their sets of five-word shingles is 0.8 or more, or
+    if their 64-bit fingerprints are within the radius.  Equal word sequences collapse before
+    candidates are made; candidates meet in coarse groups, where the sets decide.  Null ids take
+    no part.  Rows that repeat an id are one document that has the links of all its texts.
     """
     spark = docs.sparkSession
     folder = new_folder(spark, "similar")
-    named = docs.where("doc_id IS NOT NULL")
+    named = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches(named).write.parquet(f"{folder}/docs")
     rows = spark.read.parquet(f"{folder}/docs")
     ids = rows.select("doc_id", "node")
-    first = ids.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    first.write.parquet(f"{folder}/first")
+    ids.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).write.parquet(f"{folder}/first")
     first = spark.read.parquet(f"{folder}/first")
-    nodes = rows.join(first, (F.col("doc_id") == F.col("first")) & rows.node.eqNullSafe(first.node), "left_semi").dropDuplicates(["node"])
-    wide_links(nodes).distinct().write.parquet(f"{folder}/links")
-    links_ = spark.read.parquet(f"{folder}/links")
-    one, two = (first.select(F.col("node").alias(x), F.col("first").alias(f"{x}_id")) for x in ("a", "b"))
-    edges = links_.join(one, "a").join(two, "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    rows.join(first, (F.col("doc_id") == F.col("first")) & (rows.node == first.node), "left_semi").dropDuplicates(["node"]).write.parquet(f"{folder}/nodes")
+    nodes = spark.read.parquet(f"{folder}/nodes")
+    coarse = components(wide_links(nodes))
+    coarse.join(nodes.select(F.col("doc_id").alias("node"), "size"), "node").groupBy("node", "root").agg(F.max("size").alias("size")).write.parquet(f"{folder}/coarse")
+    picked = spark.read.parquet(f"{folder}/coarse").select(F.col("node").alias("doc_id"), "root", "size")
+    named.join(picked, "doc_id").write.parquet(f"{folder}/members")
+    exact = verified_links(spark.read.parquet(f"{folder}/members"), folder)
     copies = ids.join(first.where("n > 1"), "node").where("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    close = near_duplicates(named).where("doc_id != component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    return components(edges.unionByName(copies).unionByName(close)).select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
+    by_fp = nodes.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
+    by_fp.write.parquet(f"{folder}/fps")
+    by_fp = spark.read.parquet(f"{folder}/fps")
+    same_fp = nodes.select("fp", "doc_id").join(by_fp.where("n > 1"), "fp").where("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    one, two = (by_fp.select(F.col("fp").alias(x), F.col("id").alias(f"{x}_id")) for x in ("a", "b"))
+    close = links(by_fp.select("fp"), by_fp.count()).join(one, "a").join(two, "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    found = components(exact.unionByName(copies).unionByName(same_fp).unionByName(close))
+    return found.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

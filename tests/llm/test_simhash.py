@@ -94,22 +94,64 @@ def test_similar_groups_find_near_copies(spark):
         docs.append((100_000 + k, " ".join(words)))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     groups = {r.doc_id: r.group_id for r in simhash.similar_groups(df).collect()}
-    sets = {d: shingle_set(t) for d, t in docs}
-    for k, (d, _) in enumerate(base):
-        near = len(sets[d] & sets[100_000 + k]) / len(sets[d] | sets[100_000 + k])
-        assert near < 0.85 or groups[100_000 + k] == groups[d], near
-    members = {}
-    for d, g in groups.items():
-        members.setdefault(g, []).append(d)
-    for ids in members.values():  # nobody is in a group without a near neighbour in it
-        for d in ids:
-            assert max(len(sets[d] & sets[o]) / len(sets[d] | sets[o]) for o in ids if o != d) > 0.6
+    assert groups == brute_groups(docs)
+    assert sum(groups.get(100_000 + k) == d for k, (d, _) in enumerate(base)) > 10
+
+
+def brute_groups(docs):
+    """Smallest id of each group of two or more, by all pairs of different sets and fingerprints."""
+    sets, ids, holders = {d: frozenset(shingle_set(t or "")) for d, t in docs}, {}, {}
+    labels = {d: d for d, _ in docs}
+
+    def root(d):
+        while labels[d] != d:
+            d = labels[d]
+        return d
+
+    def link(a, b):
+        a, b = sorted((root(a), root(b)))
+        labels[b] = a
+
+    for d, t in docs:
+        link(d, ids.setdefault(tuple((t or "").lower().split()), d))
+    for d in set(ids.values()):
+        for s in sets[d]:
+            holders.setdefault(s, []).append(d)
+    common = {}
+    for held in holders.values():
+        for i, b in enumerate(held):
+            for a in held[:i]:
+                common[a, b] = common.get((a, b), 0) + 1
+    for (a, b), n in common.items():
+        if 5 * n >= 4 * len(sets[a] | sets[b]):
+            link(a, b)
+    for d, r in brute_components([(d, brute_fingerprint(t)) for d, t in docs]).items():
+        link(d, r)
+    least = {d: root(d) for d, _ in docs}
+    shared = {r for d, r in least.items() if d != r}
+    return {d: r for d, r in least.items() if r in shared}
+
+
+def test_similar_groups_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PIECE", 400)
+    monkeypatch.setattr(simhash, "BLOCK", 900)
+    draw = np.random.default_rng(4)
+    base, docs = draw.integers(0, 10_000, 60).astype(str).tolist(), []
+    for d in range(150):  # a chain of near copies, some of which have no leader near
+        docs.append((d, " ".join(base)))
+        base = list(base)
+        base[int(draw.integers(60))] = f"n{d}"
+    docs += [(200, docs[3][1]), (201, docs[3][1].upper()), (202, ""), (203, None), (204, "one two")]
+    df = spark.createDataFrame([(None, docs[3][1])] + docs, "doc_id long, text string").repartition(3)
+    groups = {r.doc_id: r.group_id for r in simhash.similar_groups(df).collect()}
+    assert groups == brute_groups(docs)
+    assert simhash.similar_groups(df.limit(0)).count() == 0
 
 
 def test_long_runs_link_as_pairs_do():
     draw = np.random.default_rng(6)
     centres = draw.integers(0, 1 << 63, (5, simhash.WORDS), dtype=np.uint64)
     wide = np.concatenate([np.stack([c ^ (np.uint64(1) << draw.integers(0, 64, simhash.WORDS, dtype=np.uint64)) for _ in range(60)]) for c in centres])
-    a, b = simhash.wide_links_of_run(wide)
+    a, b = simhash.wide_links_of_runs(np.zeros(len(wide), np.int64), np.arange(len(wide)), wide)
     labels = simhash.unite(np.arange(len(wide)), a, b)
     assert labels.tolist() == [i // 60 * 60 for i in range(len(wide))]
