@@ -2,9 +2,10 @@
 
 Base spans (email, ip, card, phone) are leftmost non-overlapping matches per kind that pass their
 checks.  On top of them high-recall generators propose overlapping candidates (local phone
-numbers, national ids, bank accounts, spelled-out addresses).  Boosted trees score each from its
+and international numbers, national ids, bank accounts, spelled-out addresses).  Boosted trees score each from its
 format and context and a threshold per kind, calibrated on examples that the trees did not see,
-selects.  The trees are fitted in numpy on a few thousand generated sentences, whose features the
+selects.  International numbers are candidates too: their base pattern runs on into digits that
+follow, and then fails its check.  The trees are fitted in numpy on a few thousand generated sentences, whose features the
 same Spark expressions compute, and become nested conditional expressions.  Candidates that
 overlap a base span or a better candidate are dropped; base spans always stay.
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import once, table
 
 BASE = ("email", "ip", "card", "phone")
-MORE = ("tel", "natid", "iban", "mail")
+MORE = ("tel", "natid", "iban", "mail", "intl")
 LOCAL = "A-Za-z0-9._%+-"
 PATTERNS = {
     "email": rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -37,9 +38,10 @@ PATTERNS = {
     "natid": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "mail": r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{2,40}\x20?[\[(]\x20?at\x20?[\])]\x20?[a-z0-9-]{2,40}\x20?[\[(]\x20?dot\x20?[\])]\x20?[a-z]{2,10}(?![a-z0-9])",
+    "intl": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
 }
 #: A text without this holds no match, and the pattern is not tried.
-NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "tel": None, "natid": "-", "iban": None, "mail": None}
+NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "tel": None, "natid": "-", "iban": None, "mail": None, "intl": "+"}
 CONTEXT = 16
 HINTS = r"(?i)\b(?:phone|tel|call|fax|mobile|cell|dial|ssn|social security|national id|iban|account|bank|transfer|contact|reach|write|mail)\b"
 AGAINST = r"(?i)\b(?:version|isbn|order|part|serial|invoice|ticket|build|model|code|ref|item)\b"
@@ -222,7 +224,7 @@ def examples(seed: int = 11, n: int = 2400) -> list[tuple[int, str, str]]:
     for _ in range(n):
         kind, label = pick(*MORE), int(draw.random() < 0.5)
         filler = " ".join(pick("the", "house", "river", "was", "seen", "and", "then", "early") for _ in range(draw.integers(6, 12)))
-        good = {"tel": ("call", "phone", "tel", "mobile", "fax"), "natid": ("SSN", "social security", "national id"), "iban": ("IBAN", "bank account", "transfer to"), "mail": ("contact", "write to", "reach me")}[kind]
+        good = {"tel": ("call", "phone", "tel", "mobile", "fax"), "natid": ("SSN", "social security", "national id"), "iban": ("IBAN", "bank account", "transfer to"), "mail": ("contact", "write to", "reach me"), "intl": ("call", "phone", "then", "river", "house")}[kind]
         if kind == "tel":
             sep = pick("-", ".", " ")
             value = pick(f"({number(3)}) {number(3)}-{number(4)}", f"{number(3)}{sep}{number(3)}{sep}{number(4)}")
@@ -232,9 +234,11 @@ def examples(seed: int = 11, n: int = 2400) -> list[tuple[int, str, str]]:
             country, account = pick("DE", "FR", "ES"), number(18)
             rest = int(account + "".join(str(ord(c) - 55) for c in country) + "00") % 97
             value = f"{country}{98 - rest if label else (98 - rest + draw.integers(1, 90)) % 97:02d}{account}"
+        elif kind == "intl":
+            value = pick(f"+1 ({number(3)}) {number(3)}-{number(4)}", f"+{number(2)} {number(3)} {number(3)} {number(4)}", f"+1-{number(3)}-{number(3)}-{number(4)}") + pick(" 10.2", " 7", " 2024-05")
         else:
             value = f"{pick('ana', 'joe.smith', 'max_1')} [at] {pick('mail', 'example')} [dot] {pick('org', 'com')}"
-        lead = pick(*good) if label else pick("version", "part", "order", "ticket", "then", "river", "isbn", "serial")
+        lead = pick(*good) if label else pick("version", "part", "order", "ticket", "isbn", "serial", *(() if kind == "intl" else ("then", "river")))
         if kind == "mail":
             label = 1
         out.append((label, f"{filler} {lead} {value} {filler}", kind))

@@ -45,6 +45,7 @@ def test_query_equals_brute_force(spark):
 TEXTS = [
     None, "", "é𝄞a@b.c+d@e.f x@y", "1.2.3.4.5 256.1.1.1 0001.02.3.255 1.2.3.4.5.6.7.8", "4111 1111 1111 1111 and 4111-1111-1111-1112", "+1 (212) 555-0199 +49 30 1234567890123 +1", "a" * 4000 + "@", "a@" + "b." * 20_000 + "c",
     "1 " * 40_000, "call 212-555-0199 now, SSN 123-45-6789, order 123-45-6780", "+" * 1000 + "1234567890", "4111111111111111" * 5, "x.@y..z a@b-c.d_e", "1.1.1.1" * 2000, "ana [at] mail [dot] org",
+    "des +1 (826) 555-4081 10.1.2.3 von +1 (826) 555-4081 4929 1234 x", "version +12 345 678 9012 2024-05-06", "a+49 123 456 7890 1234567",
 ]
 
 
@@ -56,6 +57,8 @@ def test_odd_texts(spark):
     found = {r.doc_id: r.spans for r in rows}
     assert found[9] == "tel:5:17,natid:27:38"
     assert found[14].startswith("mail:0:")
+    assert found[15] == "intl:4:21,ip:22:30,intl:35:52"
+    assert found[16] == found[17] == ""
     assert pii.report(df.limit(0), pii.trained(spark)).count() == 0
     redacted = {r.doc_id: r.text for r in pii.redact(df, ["doc_id", "kind"], pii.trained(spark)).collect()}
     assert redacted[9] == "call [TEL] now, SSN [NATID], order 123-45-6780"
