@@ -5,8 +5,8 @@ hashed word by word; only texts in which a window's hash repeats are sorted to f
 
 A decision list is learned from a bounded sample of labelled statistics (``TRAIN_LABELS``) by
 sequential covering: a conjunction of thresholds grows by the information it gains on two thirds
-of the rows that no rule covers yet, is pruned on the last third, and is kept while it is precise
-enough.  The rules become one ordered conditional expression.
+of the rows that no rule covers yet, is pruned on the last third, and is kept if it is precise
+enough; a few other thirds are tried before the list ends.  The rules become one ordered conditional expression.
 
 Defined results: null or empty text has no words and fails the base rule; repeated rows give
 repeated results; of a label's repeated rows the lowest quality counts and null labels do not;
@@ -25,9 +25,11 @@ from .common import hash_share, once, table, words_of
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-TRAIN_LABELS = 4000
+TRAIN_LABELS = 12_000
 #: A learned rule is kept if so much of what it covers in the pruning third is of low quality.
-PRECISION, LEAST_COVER, MOST_RULES, MOST_TERMS, CUTS = 0.95, 3, 12, 4, 48
+PRECISION, LEAST_COVER, MOST_RULES, MOST_TERMS, CUTS = 0.95, 2, 12, 4, 48
+#: Ways to part the rows that are tried before no further rule is looked for.
+TRIES = 5
 FEATURES = ("n_words", "mean_word", "symbols", "dup_lines", "repeats", "distinct_words", "bangs", "mean_line")
 
 
@@ -143,19 +145,21 @@ def learn(x: np.ndarray, bad: np.ndarray, seed: int = 3) -> list[Rule]:
     rules: list[Rule] = []
     if not len(x) or not bad.any():
         return rules
-    parts = np.random.default_rng(seed).integers(0, 3, len(x))
+    draw, failed = np.random.default_rng(seed), 0
     left = np.ones(len(x), bool)
-    while len(rules) < MOST_RULES:
+    while len(rules) < MOST_RULES and failed < TRIES:
+        failed += 1
+        parts = draw.integers(0, 3, len(x))
         grow, held = left & (parts > 0), left & (parts == 0)
         if (bad & grow).sum() < LEAST_COVER:
-            break
+            continue
         rule = _centre(_prune(_grow(x[grow], bad[grow]), x[held], bad[held]), x[left])
         c = covers(rule, x) & left
         found = c & held
-        if not rule or (bad & found).sum() < LEAST_COVER or (bad & found).sum() < PRECISION * found.sum() or (bad & c).sum() < PRECISION * c.sum():
-            break
-        rules.append(rule)
-        left &= ~c
+        if rule and (bad & found).sum() >= max(LEAST_COVER, PRECISION * found.sum()) and (bad & c).sum() >= PRECISION * c.sum():
+            rules.append(rule)
+            left &= ~c
+            failed = 0
     return rules
 
 
