@@ -30,7 +30,7 @@ from .common import table
 
 LONG_WORD = 128
 #: Entries of a worker's word cache; it starts anew when full, so its memory is bounded.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 CACHED_LENGTH = 64
 NO_RANK = 1 << 60
 #: Unicode white space, written as part of a character class.

@@ -272,9 +272,8 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(1)]
-            found = [sketch(t) for t in texts]
-            node, fp = (np.fromiter(x, np.uint64, len(texts)).view(np.int64) for x in ((f[0] for f in found), map(fingerprint, texts)))
+            found = [(*sketch(text), fingerprint(text)) for text in (t.as_py() for t in batch.column(1))]
+            node, fp = (np.fromiter((f[k] for f in found), np.uint64, len(found)).view(np.int64) for k in (0, 4))
             wide = pa.array([f[2].astype("<u8").tobytes() for f in found], pa.binary())
             bands = pa.array([f[3].view(np.int64).tolist() for f in found], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array(fp), pa.array([f[1] for f in found], pa.int64()), wide, bands], ["doc_id", "node", "fp", "size", "wide", "bands"])
