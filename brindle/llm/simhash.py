@@ -23,7 +23,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -276,9 +278,9 @@ def sketches(docs: DataFrame) -> DataFrame:
             node, fp = (np.fromiter((f[k] for f in found), np.uint64, len(found)).view(np.int64) for k in (0, 4))
             wide = pa.array([f[2].astype("<u8").tobytes() for f in found], pa.binary())
             bands = pa.array([f[3].view(np.int64).tolist() for f in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array(fp), pa.array([f[1] for f in found], pa.int64()), wide, bands], ["doc_id", "node", "fp", "size", "wide", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array(fp), pa.array([f[1] for f in found], pa.int64()), wide, bands, batch.column(2)], ["doc_id", "node", "fp", "size", "wide", "bands", "file"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, fp long, size long, wide binary, bands array<long>")
+    return docs.select("doc_id", "text", "file").mapInArrow(run, "doc_id long, node long, fp long, size long, wide binary, bands array<long>, file long")
 
 
 def forest(n: int, near: Callable[[int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -439,6 +441,33 @@ def verified_links(members: DataFrame, folder: str) -> DataFrame:
     return inside.unionByName(across).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
 
 
+def members_of(docs: DataFrame, marks: str) -> DataFrame:
+    """``doc_id, root, size, text`` of the documents that ``marks`` names, without a shuffle.
+
+    Marks lie in the shared folder, one partition per input file; the task that reads a file looks
+    up its own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, {}
+        for batch in batches:
+            rows: list[tuple] = []
+            for at, (doc_id, file) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if file != now:
+                    now, known = file, {}
+                    system, path = fs.FileSystem.from_uri(marks)
+                    for info in system.get_file_info(fs.FileSelector(f"{path}/file={file}", allow_not_found=True)):
+                        if info.path.endswith(".parquet"):
+                            with system.open_input_file(info.path) as part:
+                                known |= {r["doc_id"]: (r["root"], r["size"]) for r in pq.ParquetFile(part).read(["doc_id", "root", "size"]).to_pylist()}
+                if doc_id in known:
+                    rows.append((at, *known[doc_id]))
+            chosen = batch.take(pa.array([r[0] for r in rows], pa.int64()))
+            yield pa.RecordBatch.from_arrays([chosen.column(0), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2)), chosen.column(1)], ["doc_id", "root", "size", "text"])
+
+    return docs.select("doc_id", "text", "file").mapInArrow(run, "doc_id long, root long, size long, text string")
+
+
 def similar_groups(docs: DataFrame) -> DataFrame:
     """``doc_id, group_id`` for documents with others in their group; group_id is the smallest id.
 
@@ -449,7 +478,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     folder = new_folder(spark, "similar")
-    named = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    named = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.input_file_name()).alias("file"))
     sketches(named).write.parquet(f"{folder}/docs")
     rows = spark.read.parquet(f"{folder}/docs")
     ids = rows.select("doc_id", "node")
@@ -458,9 +487,9 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     rows.join(first, (F.col("doc_id") == F.col("first")) & (rows.node == first.node), "left_semi").dropDuplicates(["node"]).write.parquet(f"{folder}/nodes")
     nodes = spark.read.parquet(f"{folder}/nodes")
     coarse = components(wide_links(nodes))
-    coarse.join(nodes.select(F.col("doc_id").alias("node"), "size"), "node").groupBy("node", "root").agg(F.max("size").alias("size")).write.parquet(f"{folder}/coarse")
-    picked = spark.read.parquet(f"{folder}/coarse").select(F.col("node").alias("doc_id"), "root", "size")
-    named.join(picked, "doc_id").write.parquet(f"{folder}/members")
+    sized = nodes.select(F.col("doc_id").alias("node"), "size", "file")
+    coarse.join(sized, "node").groupBy("file", F.col("node").alias("doc_id"), "root").agg(F.max("size").alias("size")).repartition("file").write.partitionBy("file").parquet(f"{folder}/marks")
+    members_of(named, f"{folder}/marks").write.parquet(f"{folder}/members")
     exact = verified_links(spark.read.parquet(f"{folder}/members"), folder)
     copies = ids.join(first.where("n > 1"), "node").where("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     by_fp = nodes.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
