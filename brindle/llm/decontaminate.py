@@ -1,15 +1,16 @@
-"""Benchmark decontamination: item-sized windows, SimHash with Hamming blocks, exact similarity.
+"""Benchmark decontamination: item-sized windows at every start, exact similarity.
 
 A window is as many words as a benchmark item has; both are multisets of five-word shingles and
 a document is contaminated if one of its windows has weighted (multiset) Jaccard similarity of
 ``SIMILARITY`` or more with the item.  Words are compared in lower case without punctuation.
 
 All of it is column expressions and joins.  Shingles of a document are hashed word by word; those
-that occur in an item anchor a window where their run begins, so an exact copy makes one row.
-Windows that share no shingle with an item have similarity zero and need no fingerprint.  Each
-anchored window gets a 64-bit SimHash of its shingles.  Fingerprints within ``RADIUS`` of the
-item's must agree with it in all but ``RADIUS // BLOCKS`` bits of some block, which is tested
-block by block before the whole distance; survivors are verified exactly.
+that occur in an item are its hits.  Similarity needs ``SIMILARITY`` of the item's shingles as
+hits, which drops most pairs.  For the others the best window over all starts is found exactly: a
+window that begins inside the document gets no worse by moving right to the next hit, and one cut
+off by the document's begin gets no worse by ending at its last hit, so no other starts are tried.
+A hit counts in a window unless as many equal shingles as the item has stand before it there, so
+one sweep over the hits gives the overlap at every start.
 
 The items' shingles are written out, so the planner knows their size: it broadcasts them under
 its threshold and deals both sides by hash beyond it.
@@ -28,8 +29,6 @@ from pyspark.sql import functions as F
 from .common import new_folder, once, table, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: At similarity 0.8 a bit differs with probability 0.15; 24 of 64 is five deviations away.
-RADIUS, BLOCKS = 24, 8
 
 
 def shingles(text: Column) -> tuple[Column, Column]:
@@ -40,52 +39,48 @@ def shingles(text: Column) -> tuple[Column, Column]:
     return words_of(plain), hashes
 
 
-def with_shingles(rows: DataFrame, key: str) -> DataFrame:
+def with_shingles(rows: DataFrame, key: str, number: str) -> DataFrame:
+    """``number`` tells rows apart that repeat a key."""
     words, hashes = shingles(F.col("text"))
-    return rows.select(key, once(words).alias("__words")).select(key, once(hashes).alias("__h")).where("__h IS NOT NULL")
+    return rows.select(key, F.monotonically_increasing_id().alias(number), once(words).alias("__words")).select(key, number, once(hashes).alias("__h")).where("__h IS NOT NULL")
 
 
-def simhash(hashes: Column) -> Column:
-    def bit(b: Column) -> Column:
-        ones = F.aggregate(hashes, F.lit(0), lambda s, x: s + F.call_function("shiftrightunsigned", x, b).bitwiseAND(F.lit(1).cast("long")).cast("int"))
-        return F.when(2 * ones > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
+def best_window(hits: Column, n: Column, m: Column) -> Column:
+    """The highest similarity of a window; ``hits``: (pos, back), sorted.
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(bit(b)))
+    ``back`` is the position from which on an equal shingle is one too many, or -1.
+    """
+    begun = F.struct(F.lit(0).alias("common"), F.lit(0.0).alias("best"))
+    ratio = lambda common, size: common / (size + m - common)
 
+    def cut_off(a: Column, h: Column) -> Column:
+        common = a["common"] + F.when(h["back"] < 0, 1).otherwise(0)
+        return F.struct(common.alias("common"), F.when(h["pos"] < m, F.greatest(a["best"], ratio(common, h["pos"] + 1))).otherwise(a["best"]).alias("best"))
 
-def near(a: Column, b: Column) -> Column:
-    """Within the radius: some block is near enough, and then the whole is."""
-    differ, width = a.bitwiseXOR(b), 64 // BLOCKS
-    block = F.lit(False)
-    for i in range(BLOCKS):
-        part = F.shiftrightunsigned(differ, i * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-        block = block | (F.bit_count(part) <= RADIUS // BLOCKS)
-    return block & (F.bit_count(differ) <= RADIUS)
+    # A hit counts for the starts after both its back and the window's length before it, up to itself.
+    comes = F.transform(hits, lambda h: F.struct((F.greatest(h["back"], h["pos"] - m) + 1).alias("at"), F.lit(0).alias("starts")))
+    starts = F.transform(hits, lambda h: F.struct(h["pos"].alias("at"), F.lit(1).alias("starts")))
 
+    def inside(a: Column, e: Column) -> Column:
+        now = F.greatest(a["best"], ratio(a["common"], F.least(m, n - e["at"])))
+        return F.struct((a["common"] + F.when(e["starts"] == 1, -1).otherwise(1)).alias("common"), F.when(e["starts"] == 1, now).otherwise(a["best"]).alias("best"))
 
-def similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard similarity of two arrays as multisets."""
-    count = lambda xs, v: F.size(F.filter(xs, lambda x: x == v))
-    plain = (F.size(F.array_distinct(a)) == F.size(a)) & (F.size(F.array_distinct(b)) == F.size(b))
-    common = F.when(plain, F.size(F.array_intersect(a, b))).otherwise(F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, v: s + F.least(count(a, v), count(b, v))))
-    return common / (F.size(a) + F.size(b) - common)
+    return F.greatest(F.aggregate(hits, begun, cut_off, lambda a: a["best"]), F.aggregate(F.sort_array(F.concat(comes, starts)), begun, inside, lambda a: a["best"]))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, similarity``: the best window of each document for each item found."""
     spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "decontaminate")
-    items = with_shingles(benchmark.select("item_id", "text"), "item_id").select("item_id", F.col("__h").alias("item_h"), once(simhash(F.col("__h"))).alias("item_fp"))
-    items.write.parquet(f"{folder}/items")
-    items = spark.read.parquet(f"{folder}/items")
-    # Shingles of an item with their offsets and predecessors; repeats inside an item keep all offsets.
-    items.select("item_id", F.size("item_h").alias("m"), F.posexplode("item_h").alias("offset", "hash"), "item_h").select("hash", "item_id", "m", "offset", F.get("item_h", F.col("offset") - 1).alias("before")).write.parquet(f"{folder}/anchors")
-    anchors = spark.read.parquet(f"{folder}/anchors")
-    at = with_shingles(docs.select("doc_id", "text"), "doc_id").select("doc_id", "__h", F.posexplode("__h").alias("pos", "hash"))
-    runs = at.join(anchors, "hash").where((F.col("offset") == 0) | ~F.get("__h", F.col("pos") - 1).eqNullSafe(F.col("before")))
-    start = F.col("pos") - F.col("offset")
-    window = F.slice("__h", F.greatest(start, F.lit(0)) + 1, F.col("m") + F.least(start, F.lit(0)))
-    windows = runs.select("doc_id", "item_id", once(window).alias("__w")).withColumn("fp", once(simhash(F.col("__w"))))
-    found = windows.join(items, "item_id").where(near(F.col("fp"), F.col("item_fp"))).select("doc_id", "item_id", once(similarity(F.col("__w"), F.col("item_h"))).alias("similarity"))
+    items = with_shingles(benchmark.select("item_id", "text"), "item_id", "item")
+    items.select("item_id", "item", F.size("__h").alias("m"), F.explode("__h").alias("hash")).groupBy("item", "hash").agg(F.first("item_id").alias("item_id"), F.first("m").alias("m"), F.count("*").cast("int").alias("times")).write.parquet(f"{folder}/shingles")
+    wanted = spark.read.parquet(f"{folder}/shingles")
+    at = with_shingles(docs.select("doc_id", "text"), "doc_id", "doc").select("doc_id", "doc", F.size("__h").alias("n"), F.posexplode("__h").alias("pos", "hash"))
+    hit = F.struct("hash", "pos", "times")
+    pairs = at.join(wanted, "hash").groupBy("doc", "item").agg(*[F.first(c).alias(c) for c in ("doc_id", "item_id", "n", "m")], F.collect_list(hit).alias("hits"))
+    enough = pairs.where(F.size("hits") >= F.ceil(SIMILARITY * F.col("m") - 1e-6)).withColumn("hits", once(F.sort_array("hits")))
+    earlier = lambda h, i: F.get("hits", i - h["times"])
+    placed = F.transform("hits", lambda h, i: F.struct(h["pos"].alias("pos"), F.when(earlier(h, i)["hash"] == h["hash"], earlier(h, i)["pos"]).otherwise(-1).alias("back")))
+    found = enough.withColumn("placed", once(F.sort_array(placed))).select("doc_id", "item_id", once(best_window(F.col("placed"), F.col("n"), F.col("m"))).alias("similarity"))
     return found.where(F.col("similarity") >= SIMILARITY).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
 
 

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -51,3 +52,27 @@ def test_edits_and_odd_rows(spark):
     assert found == {(k, i) for k in (1, 2, None, 8) for i in (10, 11)} | {(6, 14), (7, 15)}
     assert decontaminate.contaminated(d.limit(0), b).count() == 0
     assert decontaminate.contaminated(d, b.limit(0)).count() == 0
+
+
+def test_every_start_counts(spark):
+    """Reordered, repeated and edited items in longer documents, against all windows."""
+    draw = random.Random(3)
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(n))) for i, n in enumerate((60, 61, 90, 44))] + [(4, "a b c d e f " * 9), (5, "g h g h i " * 7 + "j k l m n o p q")]
+    docs = []
+    for i, text in items:
+        words = text.split()
+        third = len(words) // 3
+        for cut in (len(words) // 2, third, 2 * third):
+            for lead in (0, 3, 40):
+                docs.append(" ".join([*["x"] * lead, *words[cut:], *words[:cut], *["y"] * draw.choice((0, 2, 50))]))
+        for lead in (0, 20):
+            changed = [w if draw.random() > 0.03 else "other" for w in words]
+            docs.append(" ".join([*["x"] * lead, *changed[:third], *["z"] * draw.choice((1, 3)), *changed[third:], *changed[:third]]))
+            docs.append(" ".join([*["x"] * lead, *words[4:], *["y"] * lead]))
+    docs = list(enumerate(docs))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(d, b).collect()}
+    expect = brute(docs, items)
+    assert found.keys() == expect.keys()
+    assert all(abs(found[k] - expect[k]) < 1e-9 for k in expect)
+    assert len(expect) > 40
