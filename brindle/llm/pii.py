@@ -42,10 +42,15 @@ PATTERNS = {
 }
 #: A text without this holds no match, and the pattern is not tried.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "tel": None, "natid": "-", "iban": None, "mail": None, "intl": "+"}
-CONTEXT = 16
-HINTS = r"(?i)\b(?:phone|tel|call|fax|mobile|cell|dial|ssn|social security|national id|iban|account|bank|transfer|contact|reach|write|mail)\b"
-AGAINST = r"(?i)\b(?:version|isbn|order|part|serial|invoice|ticket|build|model|code|ref|item)\b"
-FEATURES = ("kind", "length", "digits", "separators", "hinted", "against", "checks")
+#: Characters that are read on either side of a candidate; cues farther off count as FAR away.
+CONTEXT, FAR = 80, 200
+CALL = r"phone|telephone|tel|call|calls|calling|fax|mobile|cell|dial|ring|text|contact|reach|whatsapp"
+HINTS = {
+    "tel": CALL, "intl": CALL, "natid": r"ssn|ssns|social[\x20-]security|national\x20(?:id|identity|insurance)|tax(?:payer)?\x20id",
+    "iban": r"iban|account|bank|transfer|wire|pay|payment", "mail": r"contact|reach|write|mail|email|e-mail|address",
+}
+AGAINST = r"version|isbn|order|part|serial|invoice|ticket|build|model|code|ref|item"
+FEATURES = ("kind", "length", "digits", "separators", "hint_before", "hint_after", "against_before", "against_after", "lead", "checks")
 SPAN = "array<struct<start:int,stop:int,value:string>>"
 
 
@@ -120,12 +125,22 @@ def candidates(frame: DataFrame) -> DataFrame:
 
     def of(number: int, kind: str) -> Column:
         def described(s: Column) -> Column:
-            before = F.substring(text, F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT)))
             n, size = F.length(digits_of(s["value"])), F.length(s["value"])
-            flag = lambda c: F.when(c, 1.0).otherwise(0.0)
+            # A word that the context cuts is none: one character more is read, and goes with its word.
+            near = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(1)), F.least(s["start"], F.lit(CONTEXT + 1)))
+            before = F.when(s["start"] > CONTEXT, F.regexp_replace(near, r"^\w+", "")).otherwise(near)
+            near = F.substring(text, s["stop"] + 1, F.lit(CONTEXT + 1))
+            after = F.when(F.length(near) > CONTEXT, F.regexp_replace(near, r"\w+$", "")).otherwise(near)
+
+            def away(context: Column, words: str, which: int) -> Column:
+                parts = F.split(context, rf"(?i)\b(?:{words})\b", -1)
+                return F.when(F.size(parts) > 1, F.length(F.element_at(parts, which))).otherwise(FAR).cast("double")
+
+            hint, against = away(before, HINTS[kind], -1), away(before, AGAINST, -1)
             return F.struct(
                 s["start"].alias("start"), F.lit(len(BASE) + number).alias("rank"), s["stop"].alias("stop"), F.lit(kind).alias("kind_name"), F.lit(float(number)).alias("kind"), size.cast("double").alias("length"), n.cast("double").alias("digits"),
-                F.length(F.regexp_replace(s["value"], "[A-Za-z0-9]", "")).cast("double").alias("separators"), flag(before.rlike(HINTS)).alias("hinted"), flag(before.rlike(AGAINST)).alias("against"), flag(mod97(s["value"]) if kind == "iban" else F.lit(False)).alias("checks"),
+                F.length(F.regexp_replace(s["value"], "[A-Za-z0-9]", "")).cast("double").alias("separators"), hint.alias("hint_before"), away(after, HINTS[kind], 1).alias("hint_after"), against.alias("against_before"), away(after, AGAINST, 1).alias("against_after"),
+                (against - hint).alias("lead"), F.when(mod97(s["value"]) if kind == "iban" else F.lit(False), 1.0).otherwise(0.0).alias("checks"),
             )
 
         return F.transform(found(text, kind), described)
@@ -224,7 +239,7 @@ def examples(seed: int = 11, n: int = 2400) -> list[tuple[int, str, str]]:
     for _ in range(n):
         kind, label = pick(*MORE), int(draw.random() < 0.5)
         filler = " ".join(pick("the", "house", "river", "was", "seen", "and", "then", "early") for _ in range(draw.integers(6, 12)))
-        good = {"tel": ("call", "phone", "tel", "mobile", "fax"), "natid": ("SSN", "social security", "national id"), "iban": ("IBAN", "bank account", "transfer to"), "mail": ("contact", "write to", "reach me"), "intl": ("call", "phone", "then", "river", "house")}[kind]
+        good = {"tel": ("call", "phone", "tel", "mobile", "fax", "reach"), "natid": ("SSN", "social security", "national id"), "iban": ("IBAN", "bank account", "transfer to"), "mail": ("contact", "write to", "reach me"), "intl": ("call", "phone", "then", "river", "house")}[kind]
         if kind == "tel":
             sep = pick("-", ".", " ")
             value = pick(f"({number(3)}) {number(3)}-{number(4)}", f"{number(3)}{sep}{number(3)}{sep}{number(4)}")
@@ -238,10 +253,26 @@ def examples(seed: int = 11, n: int = 2400) -> list[tuple[int, str, str]]:
             value = pick(f"+1 ({number(3)}) {number(3)}-{number(4)}", f"+{number(2)} {number(3)} {number(3)} {number(4)}", f"+1-{number(3)}-{number(3)}-{number(4)}") + pick(" 10.2", " 7", " 2024-05")
         else:
             value = f"{pick('ana', 'joe.smith', 'max_1')} [at] {pick('mail', 'example')} [dot] {pick('org', 'com')}"
-        lead = pick(*good) if label else pick("version", "part", "order", "ticket", "isbn", "serial", *(() if kind == "intl" else ("then", "river")))
+        bad, idle = ("version", "part", "order", "ticket", "isbn", "serial"), ("then", "river")
+        lead, other = (pick(*good), pick(*bad)) if label else (pick(*bad), pick(*good))
+        # Between cue and value may stand words; a cue may follow the value, and one of the other sort be farther off.
+        words = lambda low, high: " ".join(pick("number", "is", "of", "our", "office", "at", "under", "for", "(last filed 2019):", "no.", "the", "desk", "on") for _ in range(draw.integers(low, high)))
+        shape = draw.random()
+        if shape < 0.35:
+            around = f"{lead}{pick('', ':', ' #')} {value}"
+        elif shape < 0.7:
+            around = f"{lead} {words(1, 7)}{pick('', ':')} {value}"
+        elif shape < 0.8 and kind != "intl":
+            around = f"{value} {pick('is', 'is my', 'is the', '(', '-')} {lead}"
+        else:
+            around = f"{other} {filler} {lead} {words(0, 4)} {value}"
+        if not label and kind != "intl" and draw.random() < 0.3:
+            around = f"{pick(*idle)} {value}"
+        elif shape < 0.7 and draw.random() < 0.3:
+            around += f"{pick(',', ' now,', '.')} {other}"
         if kind == "mail":
             label = 1
-        out.append((label, f"{filler} {lead} {value} {filler}", kind))
+        out.append((label, f"{filler} {around} {filler}", kind))
     return out
 
 

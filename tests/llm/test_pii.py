@@ -64,3 +64,17 @@ def test_odd_texts(spark):
     assert redacted[9] == "call [TEL] now, SSN [NATID], order 123-45-6780"
     assert redacted[5] == "[PHONE] +49 30 1234567890123 +1"
     assert redacted[0] == ""
+
+
+def spans_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.report(df, pii.trained(spark)).collect()}
+    return [found[i] for i in range(len(texts))]
+
+
+def test_cues_farther_off(spark):
+    natid, tel = "123-45-6789", "212-555-0199"
+    leads = ["Social Security number: ", "My Social Security number is ", "SSN (last filed 2019): "]
+    texts = [f"{lead}{natid} as said" for lead in leads] + [f"call our office at {tel} today", f"{natid} is my SSN", "é" * 300 + f" please call our front desk at {tel}"]
+    assert [s.split(":")[0] for s in spans_of(spark, texts)] == ["natid"] * 3 + ["tel", "natid", "tel"]
+    assert spans_of(spark, [f"the order number of our office is {natid} here", f"call about the ticket with serial {tel} here", f"the river {natid} was", "recall " + "x " * 37 + tel]) == [""] * 4
