@@ -148,7 +148,7 @@ def candidates(frame: DataFrame) -> DataFrame:
     kinds = [of(number, kind) for number, kind in enumerate(MORE)]
     every = F.concat(*kinds)
     clear = F.filter(every, lambda c: ~F.exists("__base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
-    worth = F.col("__digit") | (F.contains(text, F.lit("dot")) | F.contains(text, F.lit("DOT")))
+    worth = F.col("__digit") | text.rlike("(?i)dot")
     return frame.withColumn("__more", once(F.when(worth, clear).otherwise(F.slice(clear, 1, 0))))
 
 

@@ -78,3 +78,7 @@ def test_cues_farther_off(spark):
     texts = [f"{lead}{natid} as said" for lead in leads] + [f"call our office at {tel} today", f"{natid} is my SSN", "é" * 300 + f" please call our front desk at {tel}"]
     assert [s.split(":")[0] for s in spans_of(spark, texts)] == ["natid"] * 3 + ["tel", "natid", "tel"]
     assert spans_of(spark, [f"the order number of our office is {natid} here", f"call about the ticket with serial {tel} here", f"the river {natid} was", "recall " + "x " * 37 + tel]) == [""] * 4
+
+
+def test_mail_in_any_case(spark):
+    assert [s.split(":")[0] for s in spans_of(spark, ["write to Joe [At] Mail [Dot] Com", "Joe [at] Mail [dOT] Com"])] == ["mail", "mail"]
