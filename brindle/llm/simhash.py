@@ -166,9 +166,12 @@ def links_of_runs(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tu
     return tuple(np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (out_a, out_b))
 
 
-def layout(count: int) -> list[list[tuple[int, int]]]:
+def layout(count: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]:
     """The tables for so many fingerprints: of each, the (shift, bits) whose values make its key."""
-    blocks, agree = next((b, k) for most, b, k in TABLES if count <= most)
+    if not 0 <= radius < 8:
+        raise ValueError("the bitwise counters hold a radius of 0 to 7")
+    agree = next(k for most, _, k in TABLES if count <= most)
+    blocks = agree + radius
     edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
     spans = [(lo, hi - lo) for lo, hi in zip(edges, edges[1:], strict=False)]
     return [list(chosen) for chosen in combinations(spans, agree)]
@@ -177,7 +180,7 @@ def layout(count: int) -> list[list[tuple[int, int]]]:
 def links(fps: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
     """``a, b``: links between different fingerprints ``fp`` that connect all within the radius."""
     keys = []
-    for t, chosen in enumerate(layout(count)):
+    for t, chosen in enumerate(layout(count, radius)):
         key = F.lit(t).cast("long")
         for shift, bits in chosen:
             key = F.shiftleft(key, bits).bitwiseOR(F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long")))

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from brindle.llm import simhash
@@ -155,3 +156,19 @@ def test_long_runs_link_as_pairs_do():
     a, b = simhash.wide_links_of_runs(np.zeros(len(wide), np.int64), np.arange(len(wide)), wide)
     labels = simhash.unite(np.arange(len(wide)), a, b)
     assert labels.tolist() == [i // 60 * 60 for i in range(len(wide))]
+
+
+def test_links_of_other_radii(spark):
+    draw = np.random.default_rng(9)
+    base = draw.integers(0, 1 << 63, 300, dtype=np.uint64)
+    for radius in (0, 2, 6, 7):
+        # Bits spread over the whole width, so that few blocks agree.
+        other = base ^ np.array([np.bitwise_or.reduce(np.uint64(1) << draw.choice(64, max(radius, 1), replace=False).astype(np.uint64)) for _ in base])
+        fps = np.unique(np.concatenate([base, other]))
+        near = np.bitwise_count(fps[:, None] ^ fps[None]) <= radius
+        expect = {(int(fps[i]), int(fps[j])) for i, j in zip(*np.nonzero(near), strict=True) if i < j}
+        frame = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+        found = {tuple(sorted((r.a % (1 << 64), r.b % (1 << 64)))) for r in simhash.links(frame, len(fps), radius).collect()}
+        assert found == expect and (len(expect) >= 300 or radius == 0)
+    with pytest.raises(ValueError):
+        simhash.links(frame, len(fps), 8)
