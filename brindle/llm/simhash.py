@@ -7,9 +7,11 @@ them, so no pair within the radius is missed; more blocks are used as fingerprin
 number, which keeps buckets small.  Each bucket yields a spanning forest of its links, never all
 pairs, and components are contracted in Spark.
 
-Inside a bucket of any size the comparison is vertical: bit planes hold one bit of 64
-fingerprints per word, differences of three planes at a time go through a carry-save adder into
-bitwise counters, and words in which every counter exceeds the radius are abandoned.
+Buckets of all sizes are compared vertically: bit planes hold one bit of 64 fingerprints per
+word, differences of three planes at a time go through a carry-save adder into bitwise counters,
+and words in which every counter exceeds the radius are abandoned.  Small buckets lie side by side
+in the planes, and a pair counts if its bucket is one.  A bucket of more than ``BUCKET`` entries is
+dealt in blocks, each pair of which is a comparison for any task.
 
 Defined results: null or empty text has no words and fingerprint zero, linked like any other;
 repeated rows share a component; a null ``doc_id`` takes the smallest id of its component, or
@@ -28,6 +30,7 @@ import xxhash
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import new_folder, table
 from .graph import components
@@ -35,9 +38,10 @@ from .graph import components
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: (fingerprints up to, blocks, blocks that agree)
 TABLES = ((1 << 24, 6, 2), (1 << 30, 7, 3), (1 << 63, 8, 4))
-#: Runs up to this length are compared by shifted differences, longer ones bit-sliced.
-SHORT_RUN = 64
-QUERIES = 256
+#: Fingerprints that are asked at once, and that they are compared with at once.
+QUERIES, PLACES = 256, 1 << 14
+#: Entries of a bucket that one task compares; larger buckets are dealt in pairs of blocks.
+BUCKET = 8192
 ONE = np.uint64(1)
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -85,30 +89,36 @@ def unite(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
-    """(64, words): bit j of word w of plane b is bit b of fingerprint 64 w + j."""
-    n = -(-len(fps) // 64) * 64
-    padded = np.zeros(n, np.uint64)
+    """Bit j of word w of plane b is bit b of fingerprint 64 w + j, which may have several words."""
+    fps = fps.reshape(len(fps), -1)
+    padded = np.zeros((-(-len(fps) // 64) * 64, fps.shape[1]), "<u8")
     padded[: len(fps)] = fps
-    bits = np.unpackbits(padded.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
 
 
 def within(queries: np.ndarray, planes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (query, place) of all fingerprints of the planes within the radius (under 8)."""
-    masks = np.where((queries[:, None] >> np.arange(64, dtype=np.uint64)) & ONE, FULL, np.uint64(0))
+    """Indices (query, place) of all fingerprints of the planes within the radius.
+
+    Fingerprints are rows of one or more 64-bit words; ``planes`` has 64 planes for each.
+    """
+    queries = queries.reshape(len(queries), -1)
+    total = len(planes)
+    # Counter bits 1, 2, 4 and so on up to the radius; the last row says that they ran over.
+    width = max(radius, 1).bit_length()
     columns = np.arange(planes.shape[1])
-    c = np.zeros((4, len(queries), len(columns)), np.uint64)  # counter bits 1, 2, 4 and "8 or more"
+    c = np.zeros((width + 1, len(queries), len(columns)), np.uint64)
 
     def add(bit: int, x: np.ndarray) -> None:
-        for k in range(bit, 3):
+        for k in range(bit, width):
             carry = c[k] & x
             c[k] ^= x
             x = carry
-        c[3] |= x
+        c[width] |= x
 
     def exceeds() -> np.ndarray:
-        over, same = c[3].copy(), np.full_like(c[0], FULL)
-        for k in (2, 1, 0):
+        over, same = c[width].copy(), np.full_like(c[0], FULL)
+        for k in range(width - 1, -1, -1):
             if radius >> k & 1:
                 same &= c[k]
             else:
@@ -116,54 +126,115 @@ def within(queries: np.ndarray, planes: np.ndarray, radius: int = RADIUS) -> tup
                 same &= ~c[k]
         return over
 
-    for b in range(0, 63, 3):
-        x, y, z = (planes[b + i][None, columns] ^ masks[:, b + i, None] for i in range(3))
+    def difference(b: int) -> np.ndarray:
+        mask = np.where((queries[:, b >> 6] >> np.uint64(b & 63)) & ONE, FULL, np.uint64(0))
+        return planes[b][None, columns] ^ mask[:, None]
+
+    step = max(1, total // 16)
+    looked = 0
+    for b in range(0, total - 2, 3):
+        x, y, z = (difference(b + i) for i in range(3))
         half = x ^ y
         add(0, half ^ z)
-        add(1, (x & y) | (half & z))
-        if b in (12, 24, 36):
+        add(1, (x & y) | (half & z)) if width > 1 else np.bitwise_or(c[width], (x & y) | (half & z), out=c[width])
+        if b > radius and b - looked >= 3 * step:
+            looked = b
             alive = (exceeds() != FULL).any(0)
             if not alive.all():
                 columns, c = columns[alive], np.ascontiguousarray(c[:, :, alive])
-    add(0, planes[63][None, columns] ^ masks[:, 63, None])
+                if not len(columns):
+                    return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for b in range(total - total % 3, total):
+        add(0, difference(b))
     near = np.unpackbits(np.ascontiguousarray(~exceeds()).astype("<u8").view(np.uint8).reshape(len(queries), -1), axis=1, bitorder="little")
     q, place = near.nonzero()
     return q, columns[place >> 6] * 64 + (place & 63)
 
 
-def links_of_run(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among the fingerprints, as index pairs."""
-    labels, planes = np.arange(len(fps)), planes_of(fps)
-    for at in range(0, len(fps), QUERIES):
-        first = at // 64
-        q, place = within(fps[at : at + QUERIES], planes[:, first:], radius)
-        q, place = q + at, place + first * 64
-        ok = (place > q) & (place < len(fps))
-        labels = unite(labels, q[ok], place[ok])
-    child = np.flatnonzero(labels != np.arange(len(fps)))
+def links_of_runs(runs: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links inside each run of equal, sorted numbers, as index pairs.
+
+    Runs of any length are compared alike: many short ones share the words of a plane, and a pair
+    counts only if its run is one.  A query meets the planes from its own place to its run's end.
+    """
+    n = len(runs)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    labels, planes = np.arange(n), planes_of(fps)
+    ends = np.searchsorted(runs, runs, "right")
+    for at in range(0, n, QUERIES):
+        stop = int(ends[min(at + QUERIES, n) - 1])
+        for first in range(at // 64, -(-stop // 64), PLACES // 64):
+            last = min(first + PLACES // 64, -(-stop // 64))
+            q, place = within(fps[at : at + QUERIES], planes[:, first:last], radius)
+            q, place = q + at, place + first * 64
+            ok = place > q
+            q, place = q[ok], place[ok]
+            ok = place < ends[q]
+            labels = unite(labels, q[ok], place[ok])
+    child = np.flatnonzero(labels != np.arange(n))
     return child, labels[child]
 
 
-def links_of_runs(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside each run of equal keys, as pairs of fingerprints."""
-    bounds = np.flatnonzero(np.diff(keys, append=keys[-1:] + 1, prepend=keys[:1] - 1)) if len(keys) else np.zeros(1, int)
-    starts, lengths = bounds[:-1], np.diff(bounds)
-    out_a, out_b = [], []
-    for s, n in zip(starts[lengths > SHORT_RUN].tolist(), lengths[lengths > SHORT_RUN].tolist(), strict=True):
-        a, b = links_of_run(fps[s : s + n], radius)
-        out_a.append(fps[s + a])
-        out_b.append(fps[s + b])
-    short = lengths <= SHORT_RUN
-    ends = np.repeat(np.where(short, starts + lengths, 0), lengths)
-    at = np.flatnonzero(ends > np.arange(len(keys)) + 1)
-    for d in range(1, SHORT_RUN):
-        at = at[ends[at] > at + d]
-        if not len(at):
-            break
-        hit = at[np.bitwise_count(fps[at] ^ fps[at + d]) <= radius]
-        out_a.append(fps[hit])
-        out_b.append(fps[hit + d])
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (out_a, out_b))
+def runs_of(keys: list[np.ndarray]) -> np.ndarray:
+    """Numbers of the runs in which all of the sorted keys are equal."""
+    new = np.zeros(len(keys[0]), bool)
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.cumsum(new)
+
+
+def links_in(entries: DataFrame, radius: int) -> DataFrame:
+    """``a, b``: links of ``tab, key, one, two, node, fp`` between nodes of equal first four.
+
+    ``fp`` is a long, or binary of several words.  Streams the sorted entries of a task; what is held is a
+    batch and a run, which is of bounded length.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+
+        def flush(part: list[np.ndarray]) -> pa.RecordBatch:
+            runs, nodes, fps = runs_of(part[:4]), part[4], part[5]
+            # Most buckets hold one entry: they have nothing to compare.
+            size = np.bincount(runs) if len(runs) else np.zeros(0, int)
+            some = size[runs] > 1 if len(runs) else np.zeros(0, bool)
+            nodes = nodes[some]
+            a, b = links_of_runs(runs[some], fps[some], radius)
+            return pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            fps = batch.column(5)
+            fps = fps.to_numpy().view(np.uint64).reshape(-1, 1) if pa.types.is_int64(fps.type) else np.frombuffer(b"".join(fps.to_pylist()), "<u8").reshape(len(batch), -1)
+            part = [*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)), fps]
+            if held is not None:
+                part = [np.concatenate(x) for x in zip(held, part, strict=True)]
+            runs = runs_of(part[:4])
+            end = int(np.searchsorted(runs, runs[-1]))  # the last run may go on
+            yield flush([x[:end] for x in part])
+            held = [x[end:] for x in part]
+        if held is not None:
+            yield flush(held)
+
+    where = ["tab", "key", "one", "two"]
+    dealt = entries.select(*where, "node", "fp").repartition(*where).sortWithinPartitions(*where)
+    return dealt.mapInArrow(run, "a long, b long").where("a != b")
+
+
+def in_pairs(entries: DataFrame, folder: str) -> DataFrame:
+    """Adds ``one`` and ``two`` to ``tab, key, node, fp``: buckets as pairs of blocks.
+
+    A bucket of more than ``BUCKET`` entries is dealt in blocks of about half that, and each pair
+    of blocks is compared on its own, by any task.  Only sizes of such buckets are written.
+    """
+    large = entries.groupBy("tab", "key").count().where(F.col("count") > BUCKET)
+    large.select("tab", "key", F.ceil(F.col("count") / (BUCKET // 2)).cast("int").alias("blocks")).write.parquet(folder)
+    sized = entries.join(entries.sparkSession.read.parquet(folder), ["tab", "key"], "left")
+    own = F.pmod(F.xxhash64("node", F.lit("block")), F.coalesce("blocks", F.lit(1))).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda other: F.struct(F.least(own, other).alias("one"), F.greatest(own, other).alias("two")))
+    return sized.select("tab", "key", "node", "fp", F.explode(others).alias("p")).select("tab", "key", "p.one", "p.two", "node", "fp")
 
 
 def layout(count: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]:
@@ -179,28 +250,15 @@ def layout(count: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]:
 
 def links(fps: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
     """``a, b``: links between different fingerprints ``fp`` that connect all within the radius."""
-    keys = []
-    for t, chosen in enumerate(layout(count, radius)):
-        key = F.lit(t).cast("long")
+    entries = []
+    for tab, chosen in enumerate(layout(count, radius)):
+        key = F.lit(0).cast("long")
         for shift, bits in chosen:
-            key = F.shiftleft(key, bits).bitwiseOR(F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long")))
-        keys.append(key)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-        def flush(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            a, b = links_of_runs(k, f, radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-        for batch in batches:
-            k, f = (np.concatenate([held, batch.column(i).to_numpy().view(held.dtype)]) for i, held in enumerate((held_k, held_f)))
-            end = int(np.searchsorted(k, k[-1])) if len(k) else 0  # the last run may go on
-            yield flush(k[:end], f[:end])
-            held_k, held_f = k[end:], f[end:]
-        yield flush(held_k, held_f)
-
-    return fps.select("fp", F.explode(F.array(*keys)).alias("key")).repartition("key").sortWithinPartitions("key").select("key", "fp").mapInArrow(run, "a long, b long")
+            part = F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND(F.lit((1 << bits) - 1 if bits < 64 else -1).cast("long"))
+            key = F.shiftleft(key, bits).bitwiseOR(part) if bits < 64 else part
+        entries.append(F.struct(F.lit(tab).alias("tab"), key.alias("key")))
+    rows = fps.select(F.col("fp").alias("node"), "fp", F.explode(F.array(*entries)).alias("e")).select("e.tab", "e.key", "node", "fp")
+    return links_in(in_pairs(rows, new_folder(fps.sparkSession, "buckets")), radius)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -221,17 +279,21 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 # --- groups by similarity of five-word shingles --------------------------------------------------
 #
-# At a similarity of 0.8 a bit of a SimHash differs with probability 0.15: some ten bits of 64,
-# where no choice of equal blocks selects.  So candidates come from bands of min-wise hashes (a
-# pair of similarity 0.8 shares one with probability 0.99998), fingerprints of 512 bits screen
-# them (78 bits differ at 0.8, 96 between sets of five and four shingles, with a deviation of 9),
-# and the sets of shingles themselves decide.
-
-SET_SHINGLE, ROWS, BANDS, WORDS, WIDE_RADIUS = 5, 3, 16, 8, 128
+# Similarity is the cosine of two documents' sets of shingles, which is what a SimHash estimates: a
+# bit differs with the share of the angle in a half circle.  At 0.8 that is 0.2, some 13 bits of
+# 64, where no choice of equal blocks selects.  So buckets come from bands of min-wise hashes (a pair
+# of a cosine of 0.8 has a Jaccard similarity of 0.64 or more and shares a band with probability
+# 0.99997), and fingerprints of 256 bits, compared bit-sliced, screen them: 52 bits differ at 0.8,
+# 64 between sets of three and two shingles, with a deviation of 7.  The sets of shingles themselves
+# decide.  A Jaccard similarity of 0.8 is a cosine of 0.88 or more.
+
+SET_SHINGLE, ROWS, BANDS, WORDS, WIDE_RADIUS = 5, 2, 20, 4, 88
 #: The least similarity as a fraction.
 PART, WHOLE = 4, 5
 #: Shingles of a group in a piece and in a block of a larger one, about; leaders of a group.
 PIECE, BLOCK, LEADERS = 1 << 15, 1 << 17, 4
+#: Marks of one input file that a task looks up; documents of files with more are joined.
+MARKS = 1 << 20
 _DRAW = np.random.default_rng(17)
 FACTORS = _DRAW.integers(0, 1 << 63, (ROWS * BANDS, 2), dtype=np.uint64) * np.uint64(2) + ONE
 LANES = _DRAW.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + ONE
@@ -262,7 +324,7 @@ def sketch(text: str | None) -> tuple[int, int, np.ndarray, np.ndarray]:
     words = words_in(text)
     hashes = shingle_set(words)
     least = np.array([(hashes * f + g).min() for f, g in FACTORS], np.uint64).reshape(BANDS, ROWS)
-    bands = mix(mix(mix(least[:, 0] + np.arange(BANDS, dtype=np.uint64)) ^ least[:, 1]) ^ least[:, 2])
+    bands = mix(mix(least[:, 0] + np.arange(BANDS, dtype=np.uint64)) ^ least[:, 1])
     wide = np.empty(WORDS, np.uint64)
     for k in range(WORDS):
         counts = np.zeros(64, np.int64)
@@ -309,50 +371,14 @@ def forest(n: int, near: Callable[[int], np.ndarray]) -> tuple[np.ndarray, np.nd
     return child, labels[child]
 
 
-def wide_links_of_runs(keys: np.ndarray, nodes: np.ndarray, wide: np.ndarray, radius: int = WIDE_RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    bounds = np.flatnonzero(np.diff(keys, append=keys[-1:] + 1, prepend=keys[:1] - 1)) if len(keys) else np.zeros(1, int)
-    starts, lengths = bounds[:-1], np.diff(bounds)
-    out_a, out_b = [], []
-    for s, n in zip(starts[lengths > SHORT_RUN].tolist(), lengths[lengths > SHORT_RUN].tolist(), strict=True):
-        w = wide[s : s + n]
-        a, b = forest(n, lambda i, w=w: np.flatnonzero(np.bitwise_count(w ^ w[i]).sum(1) <= radius))
-        out_a.append(nodes[s + a])
-        out_b.append(nodes[s + b])
-    ends = np.repeat(np.where(lengths <= SHORT_RUN, starts + lengths, 0), lengths)
-    at = np.flatnonzero(ends > np.arange(len(keys)) + 1)
-    for d in range(1, SHORT_RUN):
-        at = at[ends[at] > at + d]
-        if not len(at):
-            break
-        hit = at[np.bitwise_count(wide[at] ^ wide[at + d]).sum(1) <= radius]
-        out_a.append(nodes[hit])
-        out_b.append(nodes[hit + d])
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-
-
-def wide_links(nodes: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
+def wide_links(nodes: DataFrame, folder: str, radius: int = WIDE_RADIUS) -> DataFrame:
     """``a, b``: links between documents of different word sequences, connected per band."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WORDS), np.uint64))
-
-        def flush(part: tuple) -> pa.RecordBatch:
-            a, b = wide_links_of_runs(*part, radius)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        for batch in batches:
-            wide = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(-1, WORDS)
-            held = tuple(np.concatenate(x) for x in zip(held, (batch.column(0).to_numpy(), batch.column(1).to_numpy(), wide), strict=True))
-            end = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last run may go on
-            yield flush(tuple(x[:end] for x in held))
-            held = tuple(x[end:] for x in held)
-        yield flush(held)
-
-    return nodes.select(F.explode("bands").alias("key"), "doc_id", "wide").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    entries = nodes.select(F.posexplode("bands").alias("tab", "key"), F.col("doc_id").alias("node"), F.col("wide").alias("fp"))
+    return links_in(in_pairs(entries.select("tab", "key", "node", "fp"), folder), radius)
 
 
 def similar_in(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs of sets whose similarity is 0.8 or more, by shared members."""
+    """A spanning forest of the pairs of sets whose cosine is 0.8 or more, by shared members."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     ends = np.cumsum(sizes)
     _, member = np.unique(np.concatenate(sets), return_inverse=True)
@@ -365,7 +391,7 @@ def similar_in(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         many = count[own]
         places = np.repeat(first[own] - np.cumsum(many) + many, many) + np.arange(many.sum())
         common = np.bincount(holders[places], minlength=len(sets))
-        return np.flatnonzero(WHOLE * common >= PART * (sizes[i] + sizes - common))
+        return np.flatnonzero((WHOLE * common) ** 2 >= PART**2 * sizes[i] * sizes)
 
     return forest(len(sets), near)
 
@@ -471,10 +497,20 @@ def members_of(docs: DataFrame, marks: str) -> DataFrame:
     return docs.select("doc_id", "text", "file").mapInArrow(run, "doc_id long, root long, size long, text string")
 
 
+def members(docs: DataFrame, folder: str, schema: StructType) -> DataFrame:
+    """As ``members_of``; the documents of files with more than ``MARKS`` marks are joined by id."""
+    marks = docs.sparkSession.read.schema(schema).parquet(folder)
+    large = [r.file for r in marks.groupBy("file").count().where(F.col("count") > MARKS).select("file").collect()]
+    if not large:
+        return members_of(docs, folder)
+    joined = docs.where(F.col("file").isin(large)).join(marks.where(F.col("file").isin(large)).select("doc_id", "root", "size"), "doc_id").select("doc_id", "root", "size", "text")
+    return members_of(docs.where(~F.col("file").isin(large)), folder).unionByName(joined)
+
+
 def similar_groups(docs: DataFrame) -> DataFrame:
     """``doc_id, group_id`` for documents with others in their group; group_id is the smallest id.
 
-    Documents are linked if the similarity of their sets of five-word shingles is 0.8 or more, or
+    Documents are linked if the cosine of their sets of five-word shingles is 0.8 or more, or
     if their 64-bit fingerprints are within the radius.  Equal word sequences collapse before
     candidates are made; candidates meet in coarse groups, where the sets decide.  Null ids take
     no part.  Rows that repeat an id are one document that has the links of all its texts.
@@ -489,10 +525,11 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     first = spark.read.parquet(f"{folder}/first")
     rows.join(first, (F.col("doc_id") == F.col("first")) & (rows.node == first.node), "left_semi").dropDuplicates(["node"]).write.parquet(f"{folder}/nodes")
     nodes = spark.read.parquet(f"{folder}/nodes")
-    coarse = components(wide_links(nodes))
+    coarse = components(wide_links(nodes, f"{folder}/buckets"))
     sized = nodes.select(F.col("doc_id").alias("node"), "size", "file")
-    coarse.join(sized, "node").groupBy("file", F.col("node").alias("doc_id"), "root").agg(F.max("size").alias("size")).repartition("file").write.partitionBy("file").parquet(f"{folder}/marks")
-    members_of(named, f"{folder}/marks").write.parquet(f"{folder}/members")
+    marks = coarse.join(sized, "node").groupBy("file", F.col("node").alias("doc_id"), "root").agg(F.max("size").alias("size"))
+    marks.repartition("file", F.pmod(F.xxhash64("doc_id"), F.lit(16))).write.partitionBy("file").parquet(f"{folder}/marks")
+    members(named, f"{folder}/marks", marks.schema).write.parquet(f"{folder}/members")
     exact = verified_links(spark.read.parquet(f"{folder}/members"), folder)
     copies = ids.join(first.where("n > 1"), "node").where("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     by_fp = nodes.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))

@@ -80,7 +80,7 @@ def test_odd_rows(spark):
 
 
 def shingle_set(text):
-    words = text.lower().split()
+    words = text.encode().lower().split()
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
 
@@ -114,7 +114,7 @@ def brute_groups(docs):
         labels[b] = a
 
     for d, t in docs:
-        link(d, ids.setdefault(tuple((t or "").lower().split()), d))
+        link(d, ids.setdefault(tuple((t or "").encode().lower().split()), d))
     for d in set(ids.values()):
         for s in sets[d]:
             holders.setdefault(s, []).append(d)
@@ -124,7 +124,7 @@ def brute_groups(docs):
             for a in held[:i]:
                 common[a, b] = common.get((a, b), 0) + 1
     for (a, b), n in common.items():
-        if 5 * n >= 4 * len(sets[a] | sets[b]):
+        if 25 * n * n >= 16 * len(sets[a]) * len(sets[b]):
             link(a, b)
     for d, r in brute_components([(d, brute_fingerprint(t)) for d, t in docs]).items():
         link(d, r)
@@ -149,13 +149,46 @@ def test_similar_groups_in_pieces(spark, monkeypatch):
     assert simhash.similar_groups(df.limit(0)).count() == 0
 
 
-def test_long_runs_link_as_pairs_do():
+def test_runs_of_all_lengths_link_as_pairs_do(spark, monkeypatch):
     draw = np.random.default_rng(6)
-    centres = draw.integers(0, 1 << 63, (5, simhash.WORDS), dtype=np.uint64)
-    wide = np.concatenate([np.stack([c ^ (np.uint64(1) << draw.integers(0, 64, simhash.WORDS, dtype=np.uint64)) for _ in range(60)]) for c in centres])
-    a, b = simhash.wide_links_of_runs(np.zeros(len(wide), np.int64), np.arange(len(wide)), wide)
-    labels = simhash.unite(np.arange(len(wide)), a, b)
-    assert labels.tolist() == [i // 60 * 60 for i in range(len(wide))]
+    for words, radius in ((1, 4), (simhash.WORDS, simhash.WIDE_RADIUS), (3, 1)):
+        centres = draw.integers(0, 1 << 63, (40, words), dtype=np.uint64)
+        flips = np.uint64(1) << draw.integers(0, 64, (2000, words), dtype=np.uint64)
+        fps = centres[draw.integers(0, 40, 2000)] ^ flips * (draw.random((2000, words)) < 0.6)
+        runs = np.sort(np.concatenate([draw.integers(0, 900, 1300), np.full(700, 450)]))
+        child, parent = simhash.links_of_runs(runs, fps, radius)
+        labels = np.arange(len(fps))
+        labels[child] = parent
+        expect = np.arange(len(fps))
+        near = np.bitwise_count(fps[:, None] ^ fps[None]).sum(2) <= radius
+        for i, j in zip(*np.nonzero(near & (runs[:, None] == runs[None])), strict=True):
+            expect = simhash.unite(expect, np.array([i]), np.array([j])) if expect[i] != expect[j] else expect
+        assert labels.tolist() == expect.tolist()
+
+
+def test_large_buckets_in_pairs_of_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 40)
+    draw = np.random.default_rng(12)
+    base = draw.integers(0, 1 << 62, 30, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base, *(base ^ (np.uint64(1) << np.uint64(k)) for k in range(9))]))
+    rows = [(0, i % 2, int(f), int(f)) for i, f in enumerate(fps)]
+    df = spark.createDataFrame(rows, "tab int, key long, node long, fp long")
+    found = {tuple(sorted((r.a, r.b))) for r in simhash.links_in(simhash.in_pairs(df, f"{tmp_path}/b"), 2).collect()}
+    labels, at = np.arange(len(fps)), {int(f): i for i, f in enumerate(fps)}
+    labels = simhash.unite(labels, np.array([at[a] for a, _ in found]), np.array([at[b] for _, b in found]))
+    expect = np.arange(len(fps))
+    for i in range(len(fps)):
+        near = [j for j in range(len(fps)) if (i - j) % 2 == 0 and (int(fps[i]) ^ int(fps[j])).bit_count() <= 2]
+        expect = simhash.unite(expect, np.full(len(near), i), np.array(near))
+    assert labels.tolist() == expect.tolist()
+
+
+def test_marks_of_large_files_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MARKS", 1)
+    text = " ".join(map(str, range(100)))
+    docs = [(1, text), (2, text + " more"), (3, "other words"), (4, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.group_id for r in simhash.similar_groups(df).collect()} == {1: 1, 2: 1}
 
 
 def test_links_of_other_radii(spark):
@@ -168,7 +201,9 @@ def test_links_of_other_radii(spark):
         near = np.bitwise_count(fps[:, None] ^ fps[None]) <= radius
         expect = {(int(fps[i]), int(fps[j])) for i, j in zip(*np.nonzero(near), strict=True) if i < j}
         frame = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
-        found = {tuple(sorted((r.a % (1 << 64), r.b % (1 << 64)))) for r in simhash.links(frame, len(fps), radius).collect()}
-        assert found == expect and (len(expect) >= 300 or radius == 0)
+        found = [tuple(sorted((r.a % (1 << 64), r.b % (1 << 64)))) for r in simhash.links(frame, len(fps), radius).collect()]
+        at = {int(f): i for i, f in enumerate(fps)}
+        trees = [simhash.unite(np.arange(len(fps)), np.array([at[a] for a, _ in some], int), np.array([at[b] for _, b in some], int)).tolist() for some in (found, expect)]
+        assert trees[0] == trees[1] and set(found) <= expect and all(a != b for a, b in found) and (len(expect) >= 300 or radius == 0)
     with pytest.raises(ValueError):
         simhash.links(frame, len(fps), 8)
