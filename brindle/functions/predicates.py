@@ -14,22 +14,23 @@ COMPARE = {"=": operator.eq, "!=": operator.ne, "<": operator.lt, ">": operator.
 
 @dataclass(frozen=True)
 class Compare:
-    """A column against a constant.  An absent (null) cell does not meet it."""
+    """A column against a constant.  An absent (null) cell does not meet it, so it is never null."""
 
     column: str
     op: str
     value: object
 
     def build(self) -> Column:
-        return COMPARE[self.op](F.col(self.column), F.lit(self.value))
+        # Both terms can be pushed into a scan; together they are false for null.
+        return COMPARE[self.op](F.col(self.column), F.lit(self.value)) & F.col(self.column).isNotNull()
 
 
 @dataclass(frozen=True)
 class Chain:
     """All of ``every`` joined with any of ``some``; an empty list takes no part.
 
-    A null cell fails in ``every`` and is passed over in ``some``: coalescing the any-part to
-    false gives that even when both are joined by OR or the whole is negated.
+    A null cell fails in ``every`` and is passed over in ``some``: no comparison is null, which
+    gives that even when both are joined by OR or the whole is negated.
     """
 
     every: list[Compare] = field(default_factory=list)
@@ -41,7 +42,7 @@ class Chain:
         if self.every:
             parts.append(reduce(operator.and_, (c.build() for c in self.every)))
         if self.some:
-            parts.append(reduce(operator.or_, (F.coalesce(c.build(), F.lit(False)) if not self.joined_by_and else c.build() for c in self.some)))
+            parts.append(reduce(operator.or_, (c.build() for c in self.some)))
         if not parts:
             return F.lit(True)
         return reduce(operator.and_ if self.joined_by_and else operator.or_, parts)

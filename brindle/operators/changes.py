@@ -1,8 +1,9 @@
 """Inserts, updates and deletes on immutable tables: each gives the new table.
 
 A change set is small beside its table, but that is for the planner to find out; joins carry no
-hints.  Rows of a change set that share a key would be ambiguous; the one of highest version
-wins.
+hints.  Rows of a change set that share a key would be ambiguous: the one of highest version wins,
+or without a version the greatest by its other columns in order (nulls first).  A row without a key
+is no row: it stays out of what is inserted and changes nothing.
 """
 
 from __future__ import annotations
@@ -14,18 +15,27 @@ from ..functions.measures import amount
 from ..sources.tables import table
 
 
-def insert(df: DataFrame, new: DataFrame, key: str) -> DataFrame:
+def one_each(new: DataFrame, key: str, version: str | None = None) -> DataFrame:
+    """One row per key, none without: an arg-max with partial aggregation."""
+    named = new.where(F.col(key).isNotNull())
+    first = [version] if version else []
+    rest = [c for c in new.columns if c != key and c not in first]
+    return named.groupBy(key).agg(F.max(F.struct(*first, *rest)).alias("__one")).select(*[key if c == key else F.col(f"__one.{c}").alias(c) for c in new.columns])
+
+
+def insert(df: DataFrame, new: DataFrame, key: str, version: str | None = None) -> DataFrame:
     """Appends rows of new keys; a row whose key is present is a conflict and stays out."""
-    return df.unionByName(new.join(df.select(key), key, "left_anti"))
+    return df.unionByName(one_each(new, key, version).join(df.select(key), key, "left_anti"))
 
 
 def conflicts(df: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return new.join(df.select(key), key, "left_semi")
 
 
-def update(df: DataFrame, cells: DataFrame, key: str, column: str) -> DataFrame:
+def update(df: DataFrame, cells: DataFrame, key: str, column: str, version: str | None = None) -> DataFrame:
     """Replaces cells of present keys, null included; keys that are not there change nothing."""
-    given = cells.select(key, F.col(column).alias("__new"), F.lit(True).alias("__given"))
+    wanted = [key, column, *([version] if version else [])]
+    given = one_each(cells.select(*wanted), key, version).select(key, F.col(column).alias("__new"), F.lit(True).alias("__given"))
     return df.join(given, key, "left").withColumn(column, F.when(F.col("__given"), F.col("__new")).otherwise(F.col(column))).select(*df.columns)
 
 
@@ -33,8 +43,9 @@ def delete(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(keys.select(key), key, "left_anti")
 
 
-def upsert(df: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    return df.join(new.select(key), key, "left_anti").unionByName(new)
+def upsert(df: DataFrame, new: DataFrame, key: str, version: str | None = None) -> DataFrame:
+    one = one_each(new, key, version)
+    return df.join(one.select(key), key, "left_anti").unionByName(one)
 
 
 def latest(changes: DataFrame, key: str, version: str) -> DataFrame:
@@ -47,7 +58,10 @@ def latest(changes: DataFrame, key: str, version: str) -> DataFrame:
 
 
 def _new(spark: SparkSession) -> DataFrame:
-    return spark.range(5).select((F.col("id") * 1000).alias("s_suppkey"), F.concat(F.lit("new "), F.col("id").cast("string")).alias("s_name"), F.lit(1).alias("s_nationkey"), F.lit(0.5).alias("s_acctbal"))
+    """New suppliers, each twice, and one without a key."""
+    names = F.explode(F.array(F.lit("new "), F.lit("mew "))).alias("name")
+    twice = spark.range(6).select(F.when(F.col("id") < 5, F.col("id") * 1000).alias("s_suppkey"), "id", names)
+    return twice.select("s_suppkey", F.concat("name", F.col("id").cast("string")).alias("s_name"), F.lit(1).alias("s_nationkey"), F.lit(0.5).alias("s_acctbal"))
 
 
 def insert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +70,13 @@ def insert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def update_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
-    cells = supplier.where("s_suppkey % 3 = 0").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.col("s_acctbal") * 2).alias("s_acctbal"))
-    return update(supplier, cells, "s_suppkey", "s_acctbal")
+    cells = supplier.where("s_suppkey % 3 = 0").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.col("s_acctbal") * 2).alias("s_acctbal"), F.lit(2).alias("version"))
+    earlier = cells.select("s_suppkey", F.lit(9e9).alias("s_acctbal"), F.lit(1).alias("version"))
+    return update(supplier, cells.unionByName(earlier), "s_suppkey", "s_acctbal", "version")
+
+
+def upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return upsert(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), _new(spark).withColumn("s_suppkey", F.col("s_suppkey") / 100).withColumn("s_suppkey", F.col("s_suppkey").cast("long")), "s_suppkey")
 
 
 def delete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,10 +97,11 @@ def apply_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(events, "user_id", "event_id").where("event_type != 'error'").select("user_id", "event_id", "event_type", "value")
 
 
-QUERIES = {"insert_rows": insert_rows, "update_cells": update_cells, "delete_rows": delete_rows, "read_modify_write": read_modify_write, "apply_latest_version": apply_latest}
+QUERIES = {"insert_rows": insert_rows, "update_cells": update_cells, "upsert_rows": upsert_rows, "delete_rows": delete_rows, "read_modify_write": read_modify_write, "apply_latest_version": apply_latest}
 ORACLE_SQL = {
     "insert_rows": "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier UNION ALL SELECT i * 1000, 'new ' || i, 1, 0.5 FROM (SELECT unnest(range(0, 5)) AS i) WHERE i * 1000 NOT IN (SELECT s_suppkey FROM supplier)",
     "update_cells": "SELECT s_suppkey, CASE WHEN s_suppkey % 6 = 0 THEN s_acctbal * 2 WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_acctbal END AS s_acctbal FROM supplier",
+    "upsert_rows": "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_suppkey NOT IN (SELECT unnest(range(0, 5)) * 10) UNION ALL SELECT i * 10, 'new ' || i, 1, 0.5 FROM (SELECT unnest(range(0, 5)) AS i)",
     "delete_rows": "SELECT s_suppkey, s_name FROM supplier WHERE NOT (s_suppkey % 2 = 0 AND s_suppkey BETWEEN 0 AND 49)",
     "read_modify_write": "SELECT c_custkey, c_acctbal + coalesce((SELECT CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) FROM orders WHERE o_custkey = c_custkey), 0) AS c_acctbal FROM customer",
     "apply_latest_version": "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1 AND event_type != 'error'",

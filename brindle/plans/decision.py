@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import amount, hits, money, when_at, year
 from ..functions.predicates import between
-from ..sources.tables import stock, table
+from ..sources.tables import stock_of, table
 
 SHIPPED = "l_shipdate"
 AMOUNT = "CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE)"
@@ -38,7 +38,8 @@ def q02(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier, nation, part = _t(spark, sf_dir, "supplier", "nation", "part")
     suppliers = supplier.join(nation.where("n_regionkey = 1"), F.col("n_nationkey") == F.col("s_nationkey")).select("s_suppkey", "s_name", "n_name")
     # The arg-min is an aggregate with partial results; a window would shuffle every stock row.
-    lowest = stock(spark, sf_dir).join(suppliers, F.col("s_suppkey") == F.col("l_suppkey")).groupBy("l_partkey").agg(F.min(F.struct("s_quantity", "l_suppkey", "s_name", "n_name")).alias("m"))
+    lines = table(spark, sf_dir, "lineitem").join(suppliers, F.col("s_suppkey") == F.col("l_suppkey"), "left_semi")
+    lowest = stock_of(lines).join(suppliers, F.col("s_suppkey") == F.col("l_suppkey")).groupBy("l_partkey").agg(F.min(F.struct("s_quantity", "l_suppkey", "s_name", "n_name")).alias("m"))
     return lowest.join(part, F.col("p_partkey") == F.col("l_partkey")).select(F.col("l_partkey").alias("i_id"), F.col("m.l_suppkey").alias("s_id"), F.col("m.s_quantity").alias("min_quantity"), "m.s_name", "m.n_name", "p_name")
 
 
@@ -111,7 +112,8 @@ def q10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items with over a thousandth of a nation's stock orders."""
     (supplier,) = _t(spark, sf_dir, "supplier")
-    items = stock(spark, sf_dir).join(supplier.where("s_nationkey = 3"), F.col("s_suppkey") == F.col("l_suppkey")).groupBy(F.col("l_partkey").alias("i_id")).agg(F.sum("s_order_cnt").cast("long").alias("order_cnt"))
+    # Orders of an item at the nation's suppliers are its lines there: no stock is needed in between.
+    items = table(spark, sf_dir, "lineitem").join(supplier.where("s_nationkey = 3"), F.col("s_suppkey") == F.col("l_suppkey"), "left_semi").groupBy(F.col("l_partkey").alias("i_id")).agg(F.count("*").alias("order_cnt"))
     # The total is one row; a window over all items would gather them in one task.
     total = items.agg(F.sum("order_cnt").alias("total"))
     return items.join(F.broadcast(total), F.col("order_cnt") > F.lit(0.001).cast("decimal(4,3)") * F.col("total")).select("i_id", "order_cnt")
@@ -151,7 +153,8 @@ def q15(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q16(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stock places per item of some types at some suppliers."""
     part, supplier = _t(spark, sf_dir, "part", "supplier")
-    places = stock(spark, sf_dir).select("l_partkey", "l_suppkey").join(supplier.where(F.col("s_name") < "Supplier#000000050"), F.col("s_suppkey") == F.col("l_suppkey"), "left_semi")
+    lines = table(spark, sf_dir, "lineitem").join(supplier.where(F.col("s_name") < "Supplier#000000050"), F.col("s_suppkey") == F.col("l_suppkey"), "left_semi")
+    places = lines.join(part.where(between("p_type", "P", "T")), F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("l_partkey", "l_suppkey").distinct()
     return places.groupBy("l_partkey").agg(F.count("*").alias("stock_count")).join(part.where(between("p_type", "P", "T")), F.col("p_partkey") == F.col("l_partkey")).select("p_partkey", "p_name", "p_type", "p_retailprice", "stock_count")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.changes import latest
+from ..sources.tables import folders, remove
 
 CHANGE = T.StructType([T.StructField("key", T.LongType()), T.StructField("op", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("version", T.LongType()), T.StructField("ts", T.TimestampType())])
 
@@ -33,27 +34,45 @@ def subscribe(changes: DataFrame, low: int, high: int) -> DataFrame:
 
 
 class Replica:
-    """The state that a change stream leads to, as versions of a Parquet table.
+    """The state that a change stream leads to: a Parquet table and deltas that wait to be folded in.
 
-    Each micro-batch keeps the last change per key, meets the state once and writes the next
-    version.  A change older than the state's is stale and ignored, so batches may come out of
-    order or twice; deletes stay as tombstones, else an older write could come back.
+    A micro-batch writes its last change per key, and nothing else; every ``fold`` batches state
+    and deltas become the next table, and what that replaces is removed.  What is there is read off
+    the folder, where a table counts once it is complete, so a replica that is opened again goes on
+    where the last one stopped.  A change older than the state's is stale and ignored, so batches
+    may come out of order or twice; deletes stay as tombstones, else an older write could come back.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.batch = spark, path, -1
+    def __init__(self, spark: SparkSession, path: str, fold: int = 8):
+        self.spark, self.path, self.fold = spark, path, fold
+
+    def _numbers(self) -> tuple[int, list[int]]:
+        """The newest table's batch, or -1, and those of the deltas after it."""
+        there = [name.split("-") for name in folders(self.spark, self.path) if name.count("-") == 1]
+        base = max((int(n) for kind, n in there if kind == "state"), default=-1)
+        return base, sorted(int(n) for kind, n in there if kind == "delta" and int(n) > base)
 
     def state(self) -> DataFrame:
         schema = T.StructType([f for f in CHANGE if f.name != "ts"])
-        return self.spark.createDataFrame([], schema) if self.batch < 0 else self.spark.read.parquet(f"{self.path}/{self.batch}")
+        base, deltas = self._numbers()
+        paths = [f"{self.path}/state-{base}"] * (base >= 0) + [f"{self.path}/delta-{n}" for n in deltas]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return latest(self.spark.read.schema(schema).parquet(*paths), "key", "version").select("key", "op", "value", "version")
 
     def rows(self) -> DataFrame:
         return self.state().where("op != 'delete'").select("key", "value", "version")
 
     def apply(self, changes: DataFrame, batch: int) -> None:
-        new = latest(changes.select("key", "op", "value", "version").unionByName(self.state()), "key", "version")
-        new.select("key", "op", "value", "version").write.mode("overwrite").parquet(f"{self.path}/{batch}")
-        self.batch = batch
+        base, deltas = self._numbers()
+        if batch <= base:  # a batch again that is folded in
+            return
+        new = latest(changes.select("key", "op", "value", "version"), "key", "version")
+        new.select("key", "op", "value", "version").write.mode("overwrite").parquet(f"{self.path}/delta-{batch}")
+        if len(deltas) + 1 >= self.fold:
+            self.state().write.mode("overwrite").parquet(f"{self.path}/state-{batch}")
+            for old in [f"state-{base}"] * (base >= 0) + [f"delta-{n}" for n in {*deltas, batch}]:
+                remove(self.spark, f"{self.path}/{old}")
 
     def follow(self, stream: DataFrame, checkpoint: str):
         return stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

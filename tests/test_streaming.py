@@ -29,3 +29,19 @@ def test_windows_drop_late_rows(spark, tmp_path):
         query.awaitTermination(120)
     found = {(r.bucket.hour, r.cnt) for r in spark.read.parquet(out).collect()}
     assert found >= {(0, 2), (1, 1), (10, 1)} and (0, 3) not in found
+
+
+def test_replica_goes_on_after_a_restart(spark, tmp_path):
+    def change(*rows):
+        return spark.createDataFrame(list(rows), "key long, op string, value double, version long")
+
+    path = f"file://{tmp_path}/state"
+    changes.Replica(spark, path).apply(change((1, "write", 1.0, 1)), 0)
+    changes.Replica(spark, path).apply(change((2, "write", 2.0, 2)), 1)
+    changes.Replica(spark, path).apply(change((2, "write", 2.0, 2)), 1)  # a batch that comes again
+    got = lambda: {(r.key, r.value) for r in changes.Replica(spark, path).rows().collect()}
+    assert got() == {(1, 1.0), (2, 2.0)}
+    for n in range(2, 12):
+        changes.Replica(spark, path, fold=3).apply(change((n % 4, "write", float(n), 10 + n), (9, "delete", None, 10 + n)), n)
+    assert got() == {(0, 8.0), (1, 9.0), (2, 10.0), (3, 11.0)}
+    assert len(list((tmp_path / "state").iterdir())) <= 4
