@@ -7,16 +7,18 @@ bytes is a sum of table rows, so inference adds looked-up rows for all windows o
 A text's score per language is the byte-weighted mean of its windows' log probabilities.
 
 Training reads a bounded sample: about ``TRAIN_DOCS`` eligible documents by the hash of their id,
-at most ``TRAIN_WINDOWS`` windows of each.  Its size does not grow with the corpus; prediction covers all.
+at most ``TRAIN_WINDOWS`` windows of each, which executors cut out.  Its size does not grow with the
+corpus or its texts; prediction covers all.
 
 Defined results: null text, empty text and text without a letter give ``und`` with score 0; with
-no labelled rows every text does.  Repeated rows give repeated results; only ``doc_id`` and
-``text`` (and ``lang`` for training) are read, so other columns are ignored.
+no labelled rows every text does.  Of languages that tie the first by name is taken.  Repeated rows
+give repeated results; a null ``doc_id`` is not held out, so such rows may train.  Very long texts
+are read to their end, a few thousand windows at a time.  Only ``doc_id`` and ``text`` (and ``lang``
+for training) are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,11 @@ WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 8
 TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS, BATCH = 3000, 4, 6, 64
 #: Windows convolved at once: their responses stay in a core's cache.
 CHUNK = 8192
-HAS_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """True if there is a character of a letter category; numerals such as a half are none."""
+    return any(map(str.isalpha, text))
 
 
 def windows_of(data: bytes) -> np.ndarray:
@@ -44,19 +50,14 @@ class ByteCnn:
         self._pairs: list | None = None
 
     @classmethod
-    def train(cls, texts: list[str], langs: list[str], seed: int = 7) -> ByteCnn | None:
-        """None where there is nothing to learn from."""
+    def train(cls, windows: list[bytes], langs: list[str], seed: int = 7) -> ByteCnn | None:
+        """From windows joined per text, and each text's language; None if there is nothing to learn."""
         languages = sorted(set(langs))
         if not languages:
             return None
         draw = np.random.default_rng(seed)
-        xs, ys = [], []
-        for text, lang in zip(texts, langs, strict=True):
-            w = windows_of(text.lower().encode())
-            if len(w) > TRAIN_WINDOWS:
-                w = w[np.sort(draw.choice(len(w) - 1, TRAIN_WINDOWS, replace=False))]
-            xs.append(w)
-            ys += [languages.index(lang)] * len(w)
+        xs = [windows_of(w) for w in windows]
+        ys = [languages.index(lang) for w, lang in zip(xs, langs, strict=True) for _ in range(len(w))]
         x, y = np.concatenate(xs), np.array(ys)
         net = cls(languages, [draw.normal(0, 0.1, (k, 256, FILTERS)).astype(np.float32) for k in WIDTHS], draw.normal(0, 0.1, (len(WIDTHS) * FILTERS, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32))
         params = [*net.filters, net.dense, net.bias]
@@ -128,7 +129,7 @@ class ByteCnn:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         labels, scores = ["und"] * len(texts), [0.0] * len(texts)
-        lettered = [i for i, t in enumerate(texts) if t and HAS_LETTER.search(t)]
+        lettered = [i for i, t in enumerate(texts) if t and has_letter(t)]
         if not lettered:
             return labels, scores
         data = [texts[i].lower().encode() for i in lettered]
@@ -148,13 +149,27 @@ def held_out(doc_id):
     return F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % 3 == 1
 
 
+def some_windows(text: str) -> bytes:
+    """At most ``TRAIN_WINDOWS`` windows of a text, joined; which ones depends on its length alone."""
+    w = windows_of(text.lower().encode())
+    if len(w) > TRAIN_WINDOWS:
+        w = w[np.sort(np.random.default_rng(len(w)).choice(len(w) - 1, TRAIN_WINDOWS, replace=False))]
+    return w.tobytes()
+
+
 def fit(docs: DataFrame) -> ByteCnn | None:
     """Trains on a bounded sample of the labelled documents outside the held-out fold."""
     eligible = F.col("lang").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False))
     total = docs.where(eligible).count()
     sample = docs.where(eligible & hash_share(F.col("doc_id"), TRAIN_DOCS, total)).select("text", "lang").where(F.length("text") > 0)
-    rows = sorted(sample.limit(2 * TRAIN_DOCS).collect())
-    return ByteCnn.train([r.text for r in rows], [r.lang for r in rows])
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([some_windows(t.as_py()) for t in batch.column(0)], pa.binary()), batch.column(1)], ["windows", "lang"])
+
+    rows = sample.mapInArrow(cut_out, "windows binary, lang string").limit(2 * TRAIN_DOCS).collect()
+    rows = sorted((bytes(r.windows), r.lang) for r in rows)
+    return ByteCnn.train([w for w, _ in rows], [lang for _, lang in rows])
 
 
 def predict(docs: DataFrame, net: ByteCnn | None, keep: list[str] | None = None) -> DataFrame:
