@@ -25,6 +25,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
@@ -36,8 +37,8 @@ from .common import cut, new_folder, table
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Payloads under this many bytes are written in full even if equal ones exist.
 LEAST_REVISIT = 0
-#: Records that one reading task takes from a package.
-READ_RECORDS = 2000
+#: Records of a package that are read by one task, and reading tasks a core at most.
+READ_RECORDS, READ_TASKS = 500, 8
 
 
 def open_for(uri: str) -> tuple[fs.FileSystem, str]:
@@ -180,14 +181,23 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
             archive.end()
             archive.close()
             out.close()
-            starts = list(range(0, len(index), READ_RECORDS))
-            yield pa.RecordBatch.from_arrays([pa.array([uri] * len(starts)), pa.array(starts, pa.int64()), pa.array([min(s + READ_RECORDS, len(index)) for s in starts], pa.int64())], ["path", "first", "last"])
+            ends = [0, *np.cumsum([len(line) + 1 for line in index]).tolist()]
+            firsts = range(0, len(index), READ_RECORDS)
+            lasts = [min(f + READ_RECORDS, len(index)) for f in firsts]
+            yield pa.RecordBatch.from_arrays([pa.array([uri] * len(lasts)), pa.array([ends[f] for f in firsts], pa.int64()), pa.array([ends[n] - 1 for n in lasts], pa.int64())], ["path", "first", "last"])
 
     return pages.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "path string, first long, last long")
 
 
+def dealt(packages: DataFrame) -> DataFrame:
+    """Reading tasks: a package's pieces go to different ones, a stated number, which stays as it is."""
+    spark = packages.sparkSession
+    tasks = min(packages.count(), READ_TASKS * spark.sparkContext.defaultParallelism)
+    return packages.repartition(max(tasks, 1), "path", "first")
+
+
 def read(packages: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Range-reads the records that rows ``path, first, last`` name."""
+    """Range-reads the records that ``first`` to ``last`` of the index of ``path`` list, in bytes."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", url string, payload string" if with_payload else "")
     kinds = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.string())][: 7 if with_payload else 5])
 
@@ -202,7 +212,8 @@ def read(packages: DataFrame, with_payload: bool = True) -> DataFrame:
                 with system.open_input_file(name) as file:
                     archive = ZipReader(file)
                     base, _ = archive.start_of(DATA)
-                    for line in archive.read(INDEX).decode().split("\n")[first:last]:
+                    entries, _ = archive.start_of(INDEX)
+                    for line in archive.at(entries + first, last - first).decode().split("\n"):
                         entry = json.loads(line)
                         headers, payload = parse(gzip.decompress(archive.at(base + entry["offset"], entry["length"])))
                         original = headers["WARC-Type"] == "response"
@@ -235,7 +246,7 @@ def with_revisits(pages: DataFrame, folder: str) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
     packages = cut(write(with_revisits(table(spark, sf_dir, "pages"), f"{folder}/repeated"), f"{folder}/packages"))
-    return read(packages.repartition("path", "first"), with_payload=False)
+    return read(dealt(packages), with_payload=False)
 
 
 SQL = """
