@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
 
+from pyspark.errors import utils as errors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,19 +19,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A folder that driver and executors share: the cluster's ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (local tests) a temporary folder is set up.
+    Only a session that runs on this machine alone may go without that setting.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
+        if configured is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(configured or "file://" + tempfile.mkdtemp(prefix="shared-"))
         current = context.getCheckpointDir()
     return configured or current
 
 
+#: Folders made by this driver, in order.
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
-    return os.path.join(shared_dir(spark), f"{kind}-{uuid.uuid4().hex}")
+    _made.append(os.path.join(shared_dir(spark), f"{kind}-{uuid.uuid4().hex}"))
+    return _made[-1]
+
+
+def folders_made() -> int:
+    """How many there are so far: a mark for ``release``."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int, keep: str | None = None) -> None:
+    """Deletes the folders made since a mark, but for one, once what reads them is written."""
+    for folder in _made[since:]:
+        if folder != keep:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _made[since:] = [f for f in _made[since:] if f == keep]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -62,3 +85,22 @@ def once(value):
     move expressions past one that it takes for non-deterministic.
     """
     return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
+def built_fast(build):
+    """Decorates a function that builds large expressions: without PySpark's record of call sites.
+
+    PySpark notes for every column function where it was called, for messages of errors, by
+    several calls to the JVM each; an expression of thousands of them would take half a minute.
+    """
+
+    @functools.wraps(build)
+    def run(*args, **kwargs):
+        before = getattr(errors, "_enable_debugging_cache", None)
+        errors._enable_debugging_cache = False
+        try:
+            return build(*args, **kwargs)
+        finally:
+            errors._enable_debugging_cache = before
+
+    return run

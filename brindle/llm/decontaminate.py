@@ -43,7 +43,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, once, table, words_of
+from .common import built_fast, new_folder, once, table, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints, and counters of 9 bits (windows of up to 511 shingles) or of 21, 63 bits a long.
@@ -208,6 +208,7 @@ def verified(pairs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return best.where(F.col("similarity") >= SIMILARITY).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
 
 
+@built_fast
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, similarity``: the best window of each document for each item found."""
     spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "decontaminate")

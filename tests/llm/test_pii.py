@@ -82,3 +82,35 @@ def test_cues_farther_off(spark):
 
 def test_mail_in_any_case(spark):
     assert [s.split(":")[0] for s in spans_of(spark, ["write to Joe [At] Mail [Dot] Com", "Joe [at] Mail [dOT] Com"])] == ["mail", "mail"]
+
+
+def test_keys_and_tokens(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [f'the shop token = "{key}" was set', f"api_key: {key[:36]}Zq9", "see the folder user-guide-2019-appendix-of-it for more", f"the commit {key} of the build"]
+    spans = spans_of(spark, texts)
+    assert spans[0] == "secret:18:58" and spans[1].startswith("secret:9:")
+    assert spans[2] == spans[3] == ""
+
+
+def test_held_out_precision(spark):
+    for kind, (precision, recall) in pii.held_out(spark).items():
+        assert precision >= 0.85 and recall >= 0.35, (kind, precision, recall)
+
+
+def test_many_matches_in_one_text(spark):
+    """Places, overlaps and redaction of thousands of matches, in time near linear in them."""
+    one = "é mail ana{0}@example.com or call 212-555-{0} now, from 10.0.0.{1} "
+    texts = ["".join(one.format(1000 + k % 9000, k % 256) for k in range(n)) for n in (150, 2000, 4000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model = pii.trained(spark)
+    for r in pii.report(df, model).collect():
+        expect = brute(texts[r.doc_id])
+        got = [tuple(x.split(":")) for x in r.spans.split(",")]
+        assert [(k, int(a), int(b)) for k, a, b in got if k in pii.BASE] == expect
+        assert sum(k == "tel" for k, _, _ in got) > len(expect) // 3
+    for r in pii.redact(df, ["doc_id"], model).collect():
+        text, at, out = texts[r.doc_id], 0, []
+        for s, e, k in sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in spans_of(spark, [text])[0].split(","))):
+            out += [text[at:s], f"[{k.upper()}]"]
+            at = e
+        assert r.text == "".join(out) + text[at:]
