@@ -16,9 +16,11 @@ starts earlier (smaller ``doc_id``, or the same document further left) is remove
 3. *Merging.*  Ordered shards meet by digest and are merged two by two by binary search; the later
    of two equal windows is removed.
 
-Texts are never shuffled: marks go back to the tasks that read the documents through tables in
-the shared folder, one partition per input file.  A frequent passage is one row per task in any
-exchange, and all else spreads evenly.
+Texts are not shuffled: marks go back to the tasks that read the documents through tables in the
+shared folder, one partition per ``ROWS`` rows of an input file, so a file of any size is as many
+partitions as it needs.  A frequent passage is one row per task in any exchange, and all else
+spreads evenly.  Where an id is repeated or null, or the documents do not come from Parquet files,
+each text is written once more by ranges of its number in the order of ids.
 
 Defined results: null text is empty; texts under 100 bytes lose nothing; rows that repeat an id
 with another text come in the order of a hash of the text, rows that repeat id and text are one
@@ -35,7 +37,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_folder, table
@@ -44,6 +47,8 @@ LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
 #: Bytes hashed at once, segments gathered before they are dealt, bytes of a suffix array's shard.
 CHUNK, GATHERED, SHARD = 1 << 18, 1 << 18, 1 << 20
+#: Rows of an input file whose marks are kept, and loaded, together.
+ROWS = 1 << 16
 NULL_ID = (1 << 63) - 1
 U64 = np.uint64
 
@@ -344,7 +349,7 @@ def route_segments(blocks: DataFrame) -> DataFrame:
 
 
 class Marks:
-    """The marks of an input file, read from the shared folder when its rows come by."""
+    """The marks of some rows of an input file, read from the shared folder when its rows come by."""
 
     def __init__(self, folders: list[str], kind: int):
         self.folders, self.kind, self.key, self.marks = folders, kind, None, None
@@ -498,26 +503,43 @@ def removed_from(docs: DataFrame, folders: list[str]) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def read_at(docs: DataFrame) -> Column | None:
+    """A key of the file and of the ``ROWS`` rows of it that a row stands among; none if not read so.
+
+    Rows keep their number in a file however it is cut into tasks, so a scan that is repeated with
+    fewer executors gives the same keys.
+    """
+    try:
+        place = docs.metadataColumn("_metadata")
+        docs.select(place["file_path"], place["row_index"])
+    except AnalysisException:
+        return None
+    return F.xxhash64(place["file_path"], F.floor(place["row_index"] / ROWS))
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept``; ``kept`` is the rest as text."""
     spark = docs.sparkSession
     folder = new_folder(spark, "suffix")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * partitions
-    rows = docs.select(F.xxhash64(F.input_file_name()).alias("fkey"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    named = rows.groupBy("id").count().where(f"count > 1 OR id = {NULL_ID}").limit(1).count() > 0
-    if named:
-        # Ids that name several texts: number the texts in order and go by these numbers.
-        rows = rows.withColumn("h", F.xxhash64("text"))
-        rows.select("id", "h").distinct().orderBy("id", "h").withColumn("number", F.monotonically_increasing_id()).write.parquet(f"{folder}/numbers")
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = read_at(docs)
+    rows = docs.select((F.lit(0) if place is None else place).cast("long").alias("fkey"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    numbered = place is None or rows.groupBy("id").count().where(f"count > 1 OR id = {NULL_ID}").limit(1).count() > 0
+    if numbered:
+        # Ids that name several texts, or no file to read again: number the texts in order, write
+        # each once by ranges of numbers and go by these.
+        named = rows.drop("fkey").withColumn("h", F.xxhash64("text"))
+        named.select("id", "h").distinct().orderBy("id", "h").withColumn("number", F.monotonically_increasing_id()).write.parquet(f"{folder}/numbers")
         numbers = spark.read.parquet(f"{folder}/numbers")
-        rows = rows.drop("fkey").join(numbers, ["id", "h"]).select(F.pmod("number", F.lit(partitions)).alias("fkey"), F.col("number").alias("id"), "text").repartition("fkey")
-    unique = rows.dropDuplicates(["fkey", "id"]) if named else rows
-    route_segments(blocks_of_segments(unique, buckets)).repartition("fkey").write.partitionBy("fkey").parquet(f"{folder}/1")
-    route_windows(blocks_of_windows(unique, f"{folder}/1", buckets)).repartition("fkey").write.partitionBy("fkey").parquet(f"{folder}/2")
+        texts = named.dropDuplicates(["id", "h"]).join(numbers, ["id", "h"]).select(F.floor(F.col("number") / ROWS).alias("fkey"), F.col("number").alias("id"), "text")
+        texts.repartition("fkey").sortWithinPartitions("fkey", "id").write.parquet(f"{folder}/texts")
+        rows = spark.read.parquet(f"{folder}/texts")
+    route_segments(blocks_of_segments(rows, buckets)).repartition("fkey").write.partitionBy("fkey").parquet(f"{folder}/1")
+    route_windows(blocks_of_windows(rows, f"{folder}/1", buckets)).repartition("fkey").write.partitionBy("fkey").parquet(f"{folder}/2")
     out = removed_from(rows, [f"{folder}/1", f"{folder}/2"]).drop("fkey")
-    if named:
-        out = out.join(numbers.select(F.col("id").alias("own"), "number"), F.col("id") == F.col("number")).drop("id", "number").withColumnRenamed("own", "id")
+    if numbered:
+        named = named.select("id", "h").join(numbers, ["id", "h"]).select(F.col("id").alias("own"), "number")
+        out = out.join(named, F.col("id") == F.col("number")).drop("id", "number").withColumnRenamed("own", "id")
     return out.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 

@@ -44,6 +44,22 @@ def test_periodic_and_overlapping(spark, tmp_path):
     assert found(suffix.query(spark, str(tmp_path)).collect()) == brute(docs)
 
 
+def test_marks_of_many_ranges_of_a_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(suffix, "ROWS", 3)
+    draw = np.random.default_rng(6)
+    word = lambda n: "".join(draw.choice(list("abcdefgh"), n))
+    shared = word(300)
+    docs = [(i, word(40) + shared[i : i + 120 + i] + word(40)) for i in range(50)]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert found(suffix.query(spark, str(tmp_path)).collect()) == brute(docs)
+    assert suffix.read_at(spark.read.parquet(f"{tmp_path}/documents.parquet")) is not None
+    # The same texts without files, and with every row twice.
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert found(suffix.deduplicate(df).collect()) == brute(docs)
+    twice = suffix.deduplicate(df.unionByName(df)).collect()
+    assert len(twice) == 100 and found(twice) == brute(docs)
+
+
 def test_suffix_array_and_prefixes():
     draw = np.random.default_rng(2)
     for t in (draw.integers(0, 3, 3000), np.tile(draw.integers(0, 9, 70), 20), np.zeros(500)):
