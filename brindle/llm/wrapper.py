@@ -5,9 +5,11 @@ aligns a page with the wrapper, aligned nodes count the page, and a text of a no
 with this node have is constant (template) while others fill varying slots.  Runs of like siblings
 share one wrapper node with the texts of all of them.  Each task folds its own pages, so a host with a third of
 all pages is as many small wrappers as tasks, which are then folded into one.  A page is read to
-its end, at any depth.  Copies of a page count once.  The layout has few places beside its pages; a
-wrapper that grows past ``MOST_PLACES``, as one of pages without a common layout does, gives up the
-places of the fewest pages, which could not be told from content.
+its end, at any depth.  Copies of a page count once.  A wrapper keeps every place, however few pages
+have it: that of a host without a common layout grows with its pages.  Children of many different
+keys are aligned by pairs of like keys alone; a task that holds too many places passes them on as
+one more small wrapper of each host; a wrapper too long to stand beside every page is sent once to
+each task that reads pages of its host.  One task folds a host's whole wrapper, which it must hold.
 
 What a page's content is, its host's wrapper decides.  Nodes that are constant with all below them
 (in places of at least ``LEAST_PAGES`` pages) are template, wherever they stand.  Of the varying
@@ -41,7 +43,11 @@ from pyspark.sql import functions as F
 from .common import new_folder, table
 
 #: Like siblings of more than WIDEST remaining children share a place even when others stand between.
-MOST_PLACES, LEAST_PAGES, WIDEST = 4000, 3, 100
+LEAST_PAGES, WIDEST = 3, 100
+#: Cells of a table of alignment, places a task holds before it passes them on, characters of a
+#: wrapper that stands beside each page, pages for one copy of a longer one.  None drops anything;
+#: as with other tasks, the first two can choose another of several alignments that are as heavy.
+DENSE, HELD, BESIDE, PAGES_A_COPY = 1 << 16, 100_000, 1 << 16, 2000
 #: How much more the text of an article or main element is worth, and which share of it is nearly all.
 FAVOUR, NEARLY = 3.0, 0.8
 #: Levels that a wrapper describes; what is deeper counts as varying.
@@ -191,94 +197,166 @@ def tree_of(node: Node, depth: int = 0) -> list:
     return tree
 
 
-def matching(a: list, b: list, memo: dict) -> int:
-    """Simple tree matching: the most pairs of nodes that keep order and ancestry."""
+def matching(a: list, b: list, memo: dict, wide: dict[int, dict] = {}) -> int:  # noqa: B006
+    """Simple tree matching: the most pairs of nodes that keep order and ancestry.
+
+    ``wide`` may say of nodes with many children where those of a key are.
+    """
     if a[0] != b[0]:
         return 0
+    if not a[3] or not b[3]:
+        return 1
     known = memo.get((id(a), id(b)))
     if known is not None:
-        return known[0]
-    x, y = a[3], b[3]
+        return known[0] + 1
+    y = b[3]
+    keys = {t[0] for t in y}
+    at = wide.get(id(a))
+    x = [t for t in a[3] if t[0] in keys] if at is None else [a[3][n] for n in sorted(n for k in keys for n in at.get(k, ()))]
+    if len(x) * len(y) > DENSE:
+        chain = heaviest(x, y, memo, wide)
+        memo[id(a), id(b)] = (chain[0] if chain else 0, x, None, chain)
+        return memo[id(a), id(b)][0] + 1
     m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x)):
-        for j in range(len(y)):
-            m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + matching(x[i], y[j], memo))
-    memo[id(a), id(b)] = (m[-1][-1] + 1, m)
+    for i, t in enumerate(x):
+        above, row = m[i], m[i + 1]
+        for j, u in enumerate(y):
+            row[j + 1] = max(above[j + 1], row[j], above[j] + matching(t, u, memo, wide) if t[0] == u[0] else 0)
+    memo[id(a), id(b)] = (m[-1][-1], x, m, None)
     return m[-1][-1] + 1
 
 
-def pairs(a: list, b: list, memo: dict) -> list[tuple[list, list]]:
-    """The aligned children of two nodes that match."""
-    matching(a, b, memo)
-    m, i, j, out = memo[id(a), id(b)][1], len(a[3]), len(b[3]), []
-    while i and j:
-        w = matching(a[3][i - 1], b[3][j - 1], memo)
+def heaviest(x: list[list], y: list[list], memo: dict, wide: dict[int, dict] = {}) -> tuple | None:  # noqa: B006
+    """The same best alignment of many children as a chain ``(weight, a, b, chain before)``.
+
+    Only pairs of like keys are looked at; a Fenwick tree over ``y`` holds the heaviest chains.
+    """
+    places: dict[str, list[int]] = {}
+    for j, u in enumerate(y):
+        places.setdefault(u[0], []).append(j)
+    best: list[tuple | None] = [None] * (len(y) + 1)
+
+    def up_to(k: int) -> tuple | None:
+        found = None
+        while k:
+            if best[k] and (found is None or best[k][0] > found[0]):
+                found = best[k]
+            k &= k - 1
+        return found
+
+    for t in x:
+        ends = []
+        for j in places[t[0]]:
+            chain = up_to(j)
+            ends.append((j + 1, ((chain[0] if chain else 0) + matching(t, y[j], memo, wide), t, y[j], chain)))
+        for k, end in ends:
+            while k <= len(y):
+                if best[k] is None or best[k][0] < end[0]:
+                    best[k] = end
+                k += k & -k
+    return up_to(len(y))
+
+
+def pairs(a: list, b: list, memo: dict, wide: dict[int, dict] = {}) -> list[tuple[list, list]]:  # noqa: B006
+    """The aligned children of two nodes that match.
+
+    Many children have no order to keep: where there are more than ``WIDEST``, those left over by
+    the alignment share a place with one of the same key all the same.
+    """
+    matching(a, b, memo, wide)
+    if (id(a), id(b)) not in memo:
+        return []
+    _, x, m, chain = memo[id(a), id(b)]
+    y, out = b[3], []
+    i, j = len(x), len(y)
+    while m and i and j:
+        w = matching(x[i - 1], y[j - 1], memo, wide)
         if w and m[i][j] == m[i - 1][j - 1] + w:
             i, j = i - 1, j - 1
-            out.append((a[3][i], b[3][j]))
+            out.append((x[i], y[j]))
         elif m[i][j] == m[i - 1][j]:
             i -= 1
         else:
             j -= 1
-    return out[::-1]
+    while chain:
+        out.append(chain[1:3])
+        chain = chain[3]
+    out.reverse()
+    if max(len(a[3]), len(y)) > WIDEST:
+        taken = {id(t) for pair in out for t in pair}
+        left: dict[str, list[list]] = {}
+        for t in x:
+            if id(t) not in taken:
+                left.setdefault(t[0], []).append(t)
+        for u in y:
+            if id(u) not in taken and (like := left.get(u[0])):
+                n = max(range(len(like)), key=lambda n: matching(like[n], u, memo, wide))  # noqa: B023
+                out.append((like.pop(n), u))
+    return out
 
 
 def size(tree: list) -> int:
     return 1 + sum(map(size, tree[3]))
 
 
-def fold(into: list, tree: list, memo: dict | None = None, siblings: bool = False) -> None:
-    """Folds a tree of the same root key into a wrapper, or into its sibling on the same page."""
+def fold(into: list, tree: list, memo: dict | None = None, siblings: bool = False) -> int:
+    """Folds a tree of the same root key into a wrapper, or into its sibling on the same page.
+
+    Gives how many places the wrapper gained.
+    """
     memo = {} if memo is None else memo
     aligned = {id(b): a for a, b in pairs(into, tree, memo)}
     into[1] += tree[1]
     into[2] = sorted({*into[2], *tree[2]} if siblings else {*into[2]}.intersection(tree[2]))
-    grown: list[list] = []
+    gained, grown = 0, []
     before: dict[int, list] = {}
     for b in tree[3]:
         a = aligned.get(id(b))
         if a is None:
             grown.append(b)
+            gained += size(b)
         else:
-            before[id(a)] = grown
-            grown = []
-            fold(a, b, memo, siblings)
-    if before or grown:
-        children = []
-        for a in into[3]:
-            children += [*before.get(id(a), ()), a]
-        into[3] = children + grown
-
-
-def bounded(wrapper: list) -> list:
-    """Without the places of the fewest pages, if there are far too many places."""
-    if size(wrapper) <= 2 * MOST_PLACES:
-        return wrapper
-    counts: list[int] = []
-
-    def seen(tree: list) -> None:
-        for child in tree[3]:
-            counts.append(child[1])
-            seen(child)
-
-    def keep(tree: list, least: int) -> None:
-        tree[3] = [c for c in tree[3] if c[1] >= least]
-        for child in tree[3]:
-            keep(child, least)
-
-    seen(wrapper)
-    # Of one page alone nothing is known to be rare.
-    if wrapper[1] >= LEAST_PAGES:
-        keep(wrapper, max(2, sorted(counts, reverse=True)[MOST_PLACES]))
-    return wrapper
-
-
-def constant_nodes(root: Node, wrapper: list | None) -> set[int]:
+            if grown:
+                before[id(a)] = grown
+                grown = []
+            gained += fold(a, b, memo, siblings)
+    if before:
+        for n in [n for n, a in enumerate(into[3]) if id(a) in before][::-1]:
+            into[3][n:n] = before[id(into[3][n])]
+    into[3] += grown
+    return gained
+
+
+class Opened:
+    """A wrapper to read pages with: what each page would have to look for in it is found once."""
+
+    def __init__(self, wrapper: list):
+        self.wrapper = wrapper
+        #: Ids of places that are constant or lead to such places, and of those that lead there.
+        self.told: set[int] = set()
+        self.leads: set[int] = set()
+        #: Of places with many children: where those of a key are.
+        self.wide: dict[int, dict[str, list[int]]] = {}
+        self._tells(wrapper)
+
+    def _tells(self, known: list) -> bool:
+        if len(known[3]) > WIDEST:
+            at = self.wide[id(known)] = {}
+            for n, c in enumerate(known[3]):
+                at.setdefault(c[0], []).append(n)
+        if any([self._tells(c) for c in known[3]]):
+            self.leads.add(id(known))
+        if id(known) in self.leads or (known[2] and known[1] >= LEAST_PAGES):
+            self.told.add(id(known))
+            return True
+        return False
+
+
+def constant_nodes(root: Node, opened: Opened | None) -> set[int]:
     """Ids of the page's nodes that the wrapper knows as template with all that is below them."""
     found: set[int] = set()
-    if wrapper is None or wrapper[0] != key_of(root):
+    if opened is None or opened.wrapper[0] != key_of(root):
         return found
-    told: set[int] = set()
     shapes: dict[int, list] = {}
 
     def shape(node: Node) -> list:
@@ -287,20 +365,12 @@ def constant_nodes(root: Node, wrapper: list | None) -> set[int]:
             shapes[id(node)] = tree_of(node)
         return shapes[id(node)]
 
-    def tells(known: list) -> bool:
-        """Some place here is constant."""
-        below = [tells(c) for c in known[3]]
-        yes = any(below) or bool(known[2] and known[1] >= LEAST_PAGES)
-        if yes:
-            told.add(id(known))
-        return yes
-
     def walk(node: Node, known: list) -> None:
-        if id(known) not in told:
+        if id(known) not in opened.told:
             return
         if known[1] >= LEAST_PAGES and digest(own_text(node)) in known[2]:
             found.add(id(node))
-        if not any(id(c) in told for c in known[3]):
+        if id(known) not in opened.leads:
             return
         runs: list[list[Node]] = []
         for child in node.children:
@@ -316,7 +386,7 @@ def constant_nodes(root: Node, wrapper: list | None) -> set[int]:
             runs = list(places.values())
         own = [known[0], 1, [], [shape(r[0]) for r in runs]]
         by_tree = {id(t): r for t, r in zip(own[3], runs, strict=True)}
-        for a, b in pairs(known, own, {}):
+        for a, b in pairs(known, own, {}, opened.wide):
             for child in by_tree[id(b)]:
                 walk(child, a)
 
@@ -338,8 +408,7 @@ def constant_nodes(root: Node, wrapper: list | None) -> set[int]:
             whole.add(id(node))
         return text, varies
 
-    tells(wrapper)
-    walk(root, wrapper)
+    walk(root, opened.wrapper)
     if found:
         judge(root)
     return whole
@@ -366,8 +435,8 @@ def outermost(root: Node) -> list[Node]:
 class Slots:
     """What each element of a page holds that varies and may be content."""
 
-    def __init__(self, root: Node, wrapper: list | None):
-        self.template = constant_nodes(root, wrapper if wrapper and wrapper[1] >= LEAST_PAGES else None)
+    def __init__(self, root: Node, opened: Opened | None):
+        self.template = constant_nodes(root, opened if opened and opened.wrapper[1] >= LEAST_PAGES else None)
         #: Characters outside of links, worth, and whether the element stays out of what is around it.
         self.chars: dict[int, int] = {}
         self.worth: dict[int, float] = {}
@@ -448,11 +517,11 @@ def text_of(node: Node, out: set[int]) -> str:
     return " ".join("".join(parts).split())
 
 
-def extract(page: str | None, wrapper: list | None = None) -> str:
+def extract(page: str | None, wrapper: list | Opened | None = None) -> str:
     if not page:
         return ""
     root = parse(page)
-    slots = Slots(root, wrapper)
+    slots = Slots(root, Opened(wrapper) if isinstance(wrapper, list) else wrapper)
     if not slots.chars[id(root)] and slots.template:
         # Nothing varies: the pages are alike, and names alone tell template from content.
         slots = Slots(root, None)
@@ -467,40 +536,47 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """``host, wrapper`` (json) of hosts of enough pages, folded per task and then per host."""
+    """``host, wrapper`` (json), ``pages`` of hosts of enough pages, folded per task and then per host."""
+
+    def batch_of(known: list[tuple[str, list]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([h for h, _ in known], pa.string()), pa.array([json.dumps(w) for _, w in known], pa.string()), pa.array([w[1] for _, w in known], pa.int64())], ["host", "wrapper", "pages"])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list] = {}
+        held = 0
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if page:
                     tree = tree_of(parse(page))
                     if host in known:
-                        fold(known[host], tree)
-                        bounded(known[host])
+                        held += fold(known[host], tree)
                     else:
                         known[host] = tree
-        yield pa.RecordBatch.from_arrays([pa.array(list(known), pa.string()), pa.array([json.dumps(w) for w in known.values()], pa.string())], ["host", "wrapper"])
+                        held += size(tree)
+                    if held > HELD:
+                        yield batch_of(list(known.items()))
+                        known, held = {}, 0
+        yield batch_of(list(known.items()))
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, wrapper, done = None, None, []
-
-        def finish() -> None:
-            if wrapper is not None and wrapper[1] >= LEAST_PAGES:
-                done.append((current, json.dumps(wrapper)))
-
+        current, wrapper, done, held = None, None, [], 0
         for batch in batches:
             for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if host != current:
-                    finish()
-                    current, wrapper = host, json.loads(text)
-                else:
-                    fold(wrapper, json.loads(text))
-                    bounded(wrapper)
-        finish()
-        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in done], pa.string()), pa.array([w for _, w in done], pa.string())], ["host", "wrapper"])
-
-    schema = "host string, wrapper string"
+                if wrapper is not None and host == current:
+                    held += fold(wrapper, json.loads(text))
+                    continue
+                if wrapper is not None and wrapper[1] >= LEAST_PAGES:
+                    done.append((current, wrapper))
+                if held > HELD:
+                    yield batch_of(done)
+                    done, held = [], 0
+                current, wrapper = host, json.loads(text)
+                held += size(wrapper)
+        if wrapper is not None and wrapper[1] >= LEAST_PAGES:
+            done.append((current, wrapper))
+        yield batch_of(done)
+
+    schema = "host string, wrapper string, pages long"
     return pages.select("host", "html").distinct().mapInArrow(local, schema).repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(merged, schema)
 
 
@@ -508,26 +584,51 @@ def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars``.
 
     Wrappers are written out first: the planner broadcasts them if they are small and deals both
-    sides by host if not, where adaptive execution splits hot hosts.
+    sides by host if not, where adaptive execution splits hot hosts.  Pages of hosts with a long
+    wrapper are dealt apart, to tasks that are each sent that wrapper once, before its pages.
     """
-    hosted = with_host(pages)
-    folder = new_folder(pages.sparkSession, "wrappers")
-    wrappers(hosted).write.parquet(folder)
+    spark, hosted, schema = pages.sparkSession, with_host(pages), "page_id long, url string, text string, n_chars long"
+    folder = new_folder(spark, "wrappers")
+    wrappers(hosted).withColumn("wide", F.length("wrapper") > BESIDE).write.parquet(folder)
+    found = spark.read.parquet(folder)
+
+    def batch_of(ids: pa.Array, urls: pa.Array, texts: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: dict[str, list] = {}
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent: dict[str, Opened] = {}
         for batch in batches:
             texts = []
             for page, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if wrapper is not None and wrapper not in recent:
                     if len(recent) > 256:
                         recent.clear()
-                    recent[wrapper] = json.loads(wrapper)
+                    recent[wrapper] = Opened(json.loads(wrapper))
                 texts.append(extract(page, recent.get(wrapper)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            yield batch_of(batch.column(0), batch.column(1), texts)
 
-    joined = hosted.join(pages.sparkSession.read.parquet(folder), "host", "left")
-    return joined.select("page_id", "url", "html", "wrapper").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None
+        for batch in batches:
+            texts = []
+            for page, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if wrapper is None:
+                    texts.append(extract(page, known))
+                else:
+                    known = None  # frees the one before
+                    known = Opened(json.loads(wrapper))
+            pages_only = batch.filter(batch.column(3).is_null())
+            yield batch_of(pages_only.column(0), pages_only.column(1), texts)
+
+    if not found.where("wide").head(1):
+        return hosted.join(found.select("host", "wrapper"), "host", "left").select("page_id", "url", "html", "wrapper").mapInArrow(beside, schema)
+    copies = F.least(F.ceil(F.col("pages") / PAGES_A_COPY), F.lit(spark.sparkContext.defaultParallelism)).cast("long")
+    marked = hosted.join(found.select("host", "wide", copies.alias("copies"), F.when(~F.col("wide"), F.col("wrapper")).alias("wrapper")), "host", "left")
+    short = marked.where(~F.coalesce("wide", F.lit(False))).select("page_id", "url", "html", "wrapper").mapInArrow(beside, schema)
+    sent = found.where("wide").select("host", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy"), F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "wrapper")
+    dealt = marked.where("wide").select("host", F.pmod(F.xxhash64("page_id", "html"), "copies").alias("copy"), "page_id", "url", "html", "wrapper")
+    in_order = sent.unionByName(dealt).repartition("host", "copy").sortWithinPartitions("host", "copy", F.col("wrapper").isNull())
+    return short.unionByName(in_order.select("page_id", "url", "html", "wrapper").mapInArrow(ahead, schema))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import html as entities
+import random
 import re
 
 from brindle.llm import wrapper
@@ -117,3 +118,56 @@ def test_varying_decides_without_names(spark):
 def test_deep_pages_keep_their_order():
     page = "<article>" + "<div>a<b>" * 2000 + "x<b>y</b>z" + "</b>c</div>" * 2000 + "</article>"
     assert wrapper.extract(page).split() == ["a"] * 2000 + ["xyz"] + ["c"] * 2000 or wrapper.extract(page).replace(" ", "") == "a" * 2000 + "xyz" + "c" * 2000
+
+
+def test_hosts_without_a_common_layout_lose_no_place(spark):
+    """24 pages of 2,000 places of their own: notes that three of them have each are template as well."""
+    texts = [" ".join(f"words {i} {k}" for k in range(2000)) for i in range(24)]
+    pages = []
+    for i in range(24):
+        own = "".join(f"<p class=k{i}x{k}>words {i} {k}</p>" for k in range(2000))
+        note = f"<div class=note{i % 8}>Part of series {i % 8}</div>"
+        pages.append(f"<body><div class=top>Site</div>{note}{own}<div class=end>Imprint</div></body>")
+    assert learned(spark, pages) == texts
+
+
+def test_wrappers_sent_ahead_or_passed_on_early_read_alike(spark, monkeypatch):
+    """Hosts of a long wrapper, and tasks that hold too many places, give what others give."""
+    pages = [f"<body><div class=top>Site {i % 2}</div><div class=k{i % 5}><h2>Head {i}</h2><p>short text {i}</p></div><div class=end>Imprint</div></body>" for i in range(40)]
+    rows = [(i, f"http://{'ab'[i % 2]}.example/{i}", p) for i, p in enumerate(pages)] + [(1, "http://b.example/1", pages[1])] * 2
+    rows += [(None, None, "<p>no name</p>"), (50, "http://a.example/", None), (None, "http://b.example/", ""), (51, "http://few.example/", "<p>few</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    usual = sorted(wrapper.main_text(df).collect(), key=str)
+    assert len(usual) == len(rows)
+    assert {r.page_id: r.text for r in usual if r.page_id in (3, 4, 50, 51)} == {3: "Head 3 short text 3", 4: "Head 4 short text 4", 50: "", 51: "few"}
+    for held, beside, copy in ((10, 1 << 16, 2000), (100_000, 0, 3), (10, 0, 2000)):
+        monkeypatch.setattr(wrapper, "HELD", held)
+        monkeypatch.setattr(wrapper, "BESIDE", beside)
+        monkeypatch.setattr(wrapper, "PAGES_A_COPY", copy)
+        assert sorted(wrapper.main_text(df).collect(), key=str) == usual
+
+
+def test_alignment_by_pairs_of_like_keys_is_as_heavy(monkeypatch):
+    drawn = random.Random(3)
+
+    def tree():
+        inner = ["", "<b>x</b>", "<i>x</i><b>y</b>", "<b>x</b><i>y</i><b>z</b>"]
+        return wrapper.tree_of(wrapper.parse("".join(f"<div class=c{drawn.randrange(9)}>{drawn.choice(inner)}</div>" for _ in range(40))))
+
+    trees = [(tree(), tree()) for _ in range(40)]
+    weights = [wrapper.matching(a, b, {}) for a, b in trees]
+    monkeypatch.setattr(wrapper, "DENSE", 0)
+    for (a, b), weight in zip(trees, weights, strict=True):
+        found = wrapper.pairs(a, b, {})
+        assert wrapper.matching(a, b, {}) == weight == 1 + sum(wrapper.matching(x, y, {}) for x, y in found)
+        for side, children in ((0, a[3]), (1, b[3])):
+            places = [next(n for n, c in enumerate(children) if c is pair[side]) for pair in found]
+            assert places == sorted(set(places))
+        assert wrapper.matching(a, b, {}, {id(a): {k: [n for n, c in enumerate(a[3]) if c[0] == k] for k in {c[0] for c in a[3]}}}) == weight
+
+
+def test_many_children_share_places_in_any_order():
+    keys = [f"k{k}" for k in range(150)]
+    a, b = (wrapper.tree_of(wrapper.parse("".join(f"<div class={k}>same {k}</div>" for k in order))) for order in (keys, keys[::-1]))
+    assert wrapper.fold(a, b) == 0
+    assert len(a[3]) == 150 and all(c[1] == 2 and c[2] for c in a[3])
