@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 LONG_WORD = 128
 #: Entries of a worker's word cache; it starts anew when full, so its memory is bounded.
@@ -165,7 +165,7 @@ def encode(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows: list[list] = [[] for _ in range(5 if keep_ids else 3)]
             for text in batch.column(1):
                 ids = bpe.encode(text.as_py())

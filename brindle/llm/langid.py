@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_share, table
+from .common import hash_share, slices, table
 
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 8
 TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS, BATCH = 3000, 4, 6, 64
@@ -182,7 +182,7 @@ def predict(docs: DataFrame, net: ByteCnn | None, keep: list[str] | None = None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches, 0):
             texts = batch.column(0).to_pylist()
             labels, scores = model.predict(texts) if model else (["und"] * len(texts), [0.0] * len(texts))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names)

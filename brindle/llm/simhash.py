@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import new_folder, table
+from .common import new_folder, slices, table
 from .graph import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, fp``: the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, len(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
@@ -338,7 +338,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """One row per document: what decides its candidates, and its 64-bit fingerprint ``fp``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             found = [(*sketch(text), fingerprint(text)) for text in (t.as_py() for t in batch.column(1))]
             node, fp = (np.fromiter((f[k] for f in found), np.uint64, len(found)).view(np.int64) for k in (0, 4))
             wide = pa.array([f[2].astype("<u8").tobytes() for f in found], pa.binary())
@@ -419,7 +419,7 @@ def joined(pieces: DataFrame) -> DataFrame:
             root = key[0] if key else 0
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([root] * len(ids), ids, reps)], ["root", "doc_id", "rep"])
 
-        for batch in batches:
+        for batch in slices(batches, 5):
             for *k, first, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != key:
                     yield flush()
