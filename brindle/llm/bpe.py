@@ -37,6 +37,30 @@ NO_RANK = 1 << 60
 SPACE = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + f"{chr(0x2000)}-{chr(0x200A)}"
 
 
+def spanned(spans: str) -> frozenset[str]:
+    """The characters of code points and spans of them, in hex."""
+    ends = [(s.split("-")[0], s.split("-")[-1]) for s in spans.split()]
+    return frozenset(chr(c) for a, b in ends for c in range(int(a, 16), int(b, 16) + 1))
+
+
+#: Letters and numbers of the ``regex`` library that are neither to the tokenizers library, whose Unicode is older.
+NOT_YET = spanned(
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CF A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 "
+    "11DF1 1246F 12475-1247F 12550-12686 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 "
+    "1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E "
+    "2CEA2-2CEAD 323B0-33479 3D000-3FC3F "
+)
+#: Marks that are starters to the tokenizers library, whose normal forms are of Unicode 9, and a vowel sign that composes since.
+NO_MARKS = spanned(
+    "7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 1133B 1145E "
+    "11839-1183A 11930 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF "
+    "1E4EC-1E4EF "
+)
+#: Capitals (first, last, lower case of the first) that Python's Unicode has not or does not lower yet.
+CAPITALS = [(0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB)]
+LOWER = {a + i: d + i for a, b, d in CAPITALS for i in range(b - a + 1)}
+
+
 def byte_alphabet() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -81,6 +105,10 @@ class RankBpe:
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pieces = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+").findall
+        newer = "".join(sorted(NOT_YET))
+        self.older_pieces = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{newer}]]+|[\p{{N}}--[{newer}]]|[[^{SPACE}\p{{L}}\p{{N}}]||[{newer}]]+").findall
+        self.odd = NO_MARKS.union(map(chr, LOWER))
+        self.split_marks = regex.compile(f"([{''.join(sorted(NO_MARKS))}])").split
         self.separators = regex.compile("[\x1c-\x1f]")
         self.words = regex.compile(f"[^{SPACE}]+").findall
         self.cache = WordCache(self.encode_word)
@@ -124,14 +152,19 @@ class RankBpe:
 
     def encode_word(self, word: str) -> tuple[int, ...]:
         out: list[int] = []
-        for piece in self.pieces(word):
+        pieces = self.pieces if word.isascii() or NOT_YET.isdisjoint(word) else self.older_pieces
+        for piece in pieces(word):
             ids = [self.inner[b] for b in piece.encode()]
             ids[-1] = self.last[piece.encode()[-1]]
             out += self.merge(ids)
         return tuple(out)
 
     def encode_plain(self, text: str) -> list[int]:
-        text = unicodedata.normalize("NFC", text)
+        if not text.isascii() and not self.odd.isdisjoint(text):
+            # Nothing is reordered or composed across a starter.
+            text = "".join(unicodedata.normalize("NFC", part) for part in self.split_marks(text)).translate(LOWER)
+        else:
+            text = unicodedata.normalize("NFC", text)
         # Lower case goes by character: a sigma at a word's end has no form of its own.
         text = (text.replace("Σ", "σ") if "Σ" in text else text).lower()
         words = self.words(text) if self.separators.search(text) else text.split()

@@ -43,3 +43,13 @@ def test_odd_rows(spark):
     rows = {(r.doc_id, r.n_tokens) for r in bpe.encode(docs, PATH).collect()}
     assert rows == {(1, 0), (None, 1), (2, 0)}
     assert bpe.encode(docs.limit(0), PATH).count() == 0
+
+
+def test_code_points():
+    """Where scripts lie: as a letter, number or other, in lower case, and as a mark among marks."""
+    spans = [(0, 0x3400), (0xA000, 0xAC00), (0xF900, 0x17000), (0x187F0, 0x19200), (0x1A000, 0x20000), (0x2B730, 0x2B740), (0x323A8, 0x323C0), (0x33470, 0x33480)]
+    points = [chr(c) for a, b in spans for c in range(a, b)]
+    for form in (":{}", "{}1", "a\u0345{}\u0334", "\U00011935{}"):
+        texts = [form.format(c) for c in points]
+        theirs = THEIRS.encode_batch(texts, add_special_tokens=False)
+        assert [t for t, e in zip(texts, theirs, strict=True) if OURS.encode(t) != e.ids] == []
